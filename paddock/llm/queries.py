@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import bpe, classifier, exact_dedup, license_scan, packing, quality_rules, url_filter
+from paddock.llm import bpe, classifier, exact_dedup, license_scan, minhash, packing, quality_rules, url_filter
 from paddock.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op7_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
