@@ -113,41 +113,54 @@ class TrieBpe:
         raise ValueError(f"no token for the end of {tail!r}")
 
 
-class PieceCodec:
-    """Texts to pieces (pre-tokens), and pieces to (number of tokens, ids as text, decoded text), remembered up to a bound."""
+class PieceSplitter:
+    """Texts to pieces (pre-tokens), and pieces to the form that the vocabulary is written in."""
 
-    def __init__(self, path: str, kept: int = KEPT_PIECES):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        self.shape = Tokenizer.from_file(path)
-        self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
+            self.stored = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.added = {t["content"]: t["id"] for t in self.stored["added_tokens"]}
         self.any_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
-        self.ids = {**model["model"]["vocab"], **self.added}
-        self.bpe = TrieBpe(model["model"]["vocab"], model["model"]["merges"])
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes shown as the character of that number
         self.visible = {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-        self.kept = kept
-        self.known: dict[str, tuple[int, str, str]] = {}
 
     def pieces(self, text: str) -> list[str]:
-        """The text's pieces: as they stand in it, lower-cased, if it is Latin-1, else in the form that the library gives them, after ``GIVEN``."""
+        """The text's pieces: as they stand in it, lower-cased, if it is Latin-1, else in the vocabulary's form, after ``GIVEN``."""
         found = self.any_added.search(text)
         if not found:
             try:
                 text.encode("latin-1")
                 return LATIN_PIECE.findall(text.lower())
             except UnicodeEncodeError:
-                return [GIVEN + p for p, _ in self.shape.pre_tokenizer.pre_tokenize_str(self.shape.normalizer.normalize_str(text))]
+                return [GIVEN + p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         return [*self.pieces(text[: found.start()]), GIVEN + found[0], *self.pieces(text[found.end() :])]
 
+    def shown(self, piece: str) -> str:
+        if piece[0] == GIVEN:
+            return piece[1:]
+        return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.visible)
+
+
+class PieceCodec(PieceSplitter):
+    """Pieces to (number of tokens, ids as text, decoded text), remembered up to a bound."""
+
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
+        super().__init__(path)
+        model = self.stored["model"]
+        self.ids = {**model["vocab"], **self.added}
+        self.bpe = TrieBpe(model["vocab"], model["merges"])
+        self.kept = kept
+        self.known: dict[str, tuple[int, str, str]] = {}
+
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces - self.known.keys()) > self.kept:
             self.known.clear()
             self.bpe.beside.clear()
         new = pieces - self.known.keys()
-        shown = {p: p[1:] if p[0] == GIVEN else p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.visible) for p in new}
+        shown = {p: self.shown(p) for p in new}
         tokens = self.bpe.encode(list(set(shown.values()) - self.added.keys()))
         for p, word in shown.items():
             found = tokens[word] if word in tokens else [word]
