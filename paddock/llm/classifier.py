@@ -191,3 +191,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = doc.schema["doc_id"].dataType.simpleString()
     out = doc.mapInArrow(scorer(model), f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a score of 0.5 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(model)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                scores = own.scores([t or "" for t in part[text_col].to_pylist()])
+                yield part.filter(pa.array([s >= 0.5 for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -37,16 +37,19 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.translate(c, SPACES[1:], " " * 5), " "), "")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept where every executor can read it again.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors share: the session's
+    ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept where every executor can read it again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
