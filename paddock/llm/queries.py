@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import bpe, classifier, exact_dedup, license_scan, minhash, packing, quality_rules, secrets, url_filter
+from paddock.llm import bpe, classifier, exact_dedup, license_scan, minhash, packing, quality_rules, secrets, suffix_dedup, url_filter
 from paddock.llm.common import read_table
 
 
@@ -47,9 +47,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op9_suffix_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
