@@ -1 +1,3 @@
+"""All registered queries; importing this package registers them."""
 
+from paddock.plans import datasets, exotic, flagship, history, modelling, normalizing, odds, quality, rules, splits, state  # noqa: F401
