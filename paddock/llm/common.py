@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             at, held = row + 1, 0
     if at < len(sizes):
         yield batch.slice(at)
+
+
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): each text's UTF-8 bytes compressed, for texts that go through a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in slices(batch):
+                data = [press.compress(t.encode()) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(data, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, packed binary")
+
+
+def unpack(packed: list[bytes]) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(p) for p in packed]

@@ -13,8 +13,8 @@ from paddock.llm.common import durable
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of ``edges`` (columns a, b): component is the least node reachable.
 
-    Each round gives every node the least of itself and its neighbours as parent, follows
-    parents twice, and replaces both ends of each edge by their parents; edges inside one
+    Each round gives every node the least of itself and its neighbours as parent, takes
+    that one's parent, and replaces both ends of each edge by their parents; edges inside one
     parent go. The least node of a component is always its own parent, so it is what
     remains. A round at least halves the number of nodes, so there are about log(n) rounds.
     Minima are merged before the shuffle; joins by parent are ones that Spark splits when
@@ -26,9 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = []
     while not live.isEmpty():
         both = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select("b", "a"))
-        parent = durable(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")))
-        for _ in range(2):
-            parent = durable(follow(parent, parent))
+        least = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
+        parent = durable(follow(least, least))
         rounds.append(parent)
         a = live.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
         ab = a.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")

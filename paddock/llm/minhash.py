@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import durable, slices, texts
+from paddock.llm.common import durable, pack_texts, slices, texts, unpack
 from paddock.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of 3e-6.
@@ -33,6 +33,7 @@ SMALL = 12
 OUTER_BLOCK, BLOCK_ROWS = 256, 1024
 KEPT_WORDS = 400_000
 BLOCK = 1 << 15
+PACKED_BYTES = 1_000_000
 WORD = re.compile(rb"[^ \t-\r]+")
 
 
@@ -44,8 +45,8 @@ class Shingler:
         self.place: dict[bytes, int] = {}
         self.hashes = np.zeros(1024, np.uint64)
 
-    def sets(self, batch: list[str]) -> list[np.ndarray]:
-        split = [WORD.findall(t.encode().lower()) for t in batch]  # bytes.lower() folds A to Z alone
+    def sets(self, batch: list[bytes]) -> list[np.ndarray]:
+        split = [WORD.findall(t.lower()) for t in batch]  # bytes.lower() folds A to Z alone
         if len(self.place) > KEPT_WORDS:
             self.place.clear()
         new = list(set().union(*split) - self.place.keys())
@@ -111,7 +112,7 @@ def sketcher(size: int, bands: int, rows: int):
         shingler = Shingler(size)
         for batch in batches:
             for part in slices(batch):
-                sets = shingler.sets(part["text"].to_pylist())
+                sets = shingler.sets([t.encode() for t in part["text"].to_pylist()])
                 full = [s for s in sets if len(s)]
                 keys = band_keys(signatures(full, bands * rows), bands, rows) if full else np.zeros((0, bands), np.int64)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -126,12 +127,12 @@ def comparer(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, own = Shingler(size), None, None
         for batch in batches:
-            for part in slices(batch, "text_b"):
+            for part in slices(batch, "text_b", PACKED_BYTES):
                 similar = []
-                others = shingler.sets(part["text_b"].to_pylist())
+                others = shingler.sets(unpack(part["text_b"].to_pylist()))
                 for a, text, b in zip(part["a"].to_pylist(), part["text_a"], others):
                     if a != held:
-                        held, own = a, shingler.sets([text.as_py()])[0]
+                        held, own = a, shingler.sets(unpack([text.as_py()]))[0]
                     common = len(own) + len(b) - len(np.union1d(own, b))
                     similar.append(100 * common >= percent * (len(own) + len(b) - common))
                 yield part.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
@@ -167,7 +168,7 @@ def block_links(size: int, percent: int):
         outer, inner = (block.filter(pc.equal(block["outer"], x)) for x in (True, False))
         if not len(outer) or not len(inner):
             return block.select(["rep", "rep"]).slice(0, 0).rename_columns(["a", "b"])
-        left, right = (shingler.sets(side["text"].to_pylist()) for side in (outer, inner))
+        left, right = (shingler.sets(unpack(side["packed"].to_pylist())) for side in (outer, inner))
         common = common_counts(left, right)
         union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - common
         x, y = np.nonzero(100 * common >= percent * union)
@@ -190,16 +191,16 @@ def crowd_links(docs: DataFrame, live: DataFrame, size: int, percent: int) -> Da
     placed = member.join(sized, F.col("crowd") == F.col("c")).join(docs, F.col("rep") == F.col("doc_id"))
     spot = F.abs(F.xxhash64("rep") % (1 << 30))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    inner = placed.select("crowd", each(F.col("outers")).alias("o"), (spot % F.col("inners")).alias("i"), F.lit(False).alias("outer"), "rep", "text")
-    outer = placed.where("component <> main").select("crowd", (spot % F.col("outers")).alias("o"), each(F.col("inners")).alias("i"), F.lit(True).alias("outer"), "rep", "text")
+    inner = placed.select("crowd", each(F.col("outers")).alias("o"), (spot % F.col("inners")).alias("i"), F.lit(False).alias("outer"), "rep", "packed")
+    outer = placed.where("component <> main").select("crowd", (spot % F.col("outers")).alias("o"), each(F.col("inners")).alias("i"), F.lit(True).alias("outer"), "rep", "packed")
     return inner.union(outer).groupBy("crowd", "o", "i").applyInArrow(block_links(size, percent), f"a {kind}, b {kind}").distinct()
 
 
 def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough. Texts travel once to the pair's second, once to its first."""
+    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough; docs: doc_id, packed."""
     kind = pairs.schema["a"].dataType.simpleString()
-    second = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = second.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    second = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b")
+    both = second.join(docs.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(comparer(size, percent), f"a {kind}, b {kind}").distinct()
 
 
@@ -224,7 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = at.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").select("key", "pivot")
     held = durable(at.join(bucket, "key").select("key", "rep", "pivot"))
     tried = durable(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = durable(linked(doc, tried, size, percent))
+    # Only texts of classes that share a bucket travel, packed, and only once as part of all texts.
+    some = held.select("rep").distinct()
+    body = durable(pack_texts(doc).join(some, F.col("doc_id") == F.col("rep"), "left_semi"))
+    edges = durable(linked(body, tried, size, percent))
     label = durable(components(edges))
     live = with_component(held.select("key", "rep"), label)
     state = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
@@ -233,10 +237,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = live.where(F.col("members") <= SMALL).select("key", "rep", "component")
     other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
     met = small.join(other, "key").where("rep < b AND component <> cb").select(F.col("rep").alias("a"), "b").distinct()
-    more = linked(doc, met.join(tried, ["a", "b"], "left_anti"), size, percent)
-    crowded = crowd_links(doc, live.where(F.col("members") > SMALL).select("key", "rep", "component"), size, percent)
-    label = durable(components(edges.union(more).union(crowded)))
+    more = linked(body, met.join(tried, ["a", "b"], "left_anti"), size, percent)
+    crowded = crowd_links(body, live.where(F.col("members") > SMALL).select("key", "rep", "component"), size, percent)
+    # Only what the second look found is contracted again, with the first components as nodes.
+    late = more.union(crowded)
+    named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    late = durable(late.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    joined = components(late).select(F.col("node").alias("was"), F.col("component").alias("now"))
     out = with_component(member, label)
+    out = out.join(joined, out.component == joined.was, "left").withColumn("component", F.coalesce("now", "component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
