@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from paddock.llm.common import slices, texts
 
 #: Most labelled rows of each class that training looks at; more than this are left out by hash of their id.
-SAMPLE_PER_CLASS = 1_500
+SAMPLE_PER_CLASS = 1_000
 BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (2, 3, 4)
@@ -166,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Trains on labelled rows that aren't held out, ``per_class`` of each label at most, chosen by hash of the id.
 
     An id with several labels counts once, with the lowest; null ids, null labels and labels
-    other than 0 and 1 are left out. The rows that training sees are bounded, so they are
-    gathered at the driver.
+    other than 0 and 1 are left out. The rows that training sees are bounded, so one task
+    trains on them; only the buckets' weights come to the driver.
     """
     label = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).cast("int").alias("label"))
     label = label.where(~held_out(F.col("of")))
@@ -177,8 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([])
     table = docs.sparkSession.createDataFrame(sample, label.schema)
     doc = texts(docs, id_col, text_col)
-    rows = doc.join(F.broadcast(table), doc.doc_id == table.of).select("doc_id", "text", "label").dropDuplicates(["doc_id"]).collect()
-    return train([(r.text, r.label) for r in sorted(rows, key=lambda r: zlib.crc32(str(r.doc_id).encode()))])
+    rows = doc.join(F.broadcast(table), doc.doc_id == table.of).select(F.col("doc_id").cast("string").alias("id"), "text", "label").dropDuplicates(["id"])
+    found = rows.groupBy().applyInPandas(trained, "weight binary, bias double").collect()
+    return Model(np.frombuffer(found[0].weight, np.float32), found[0].bias) if found else train([])
+
+
+def trained(rows: pd.DataFrame) -> pd.DataFrame:
+    listed = sorted(zip(rows["id"], rows["text"], rows["label"]), key=lambda r: (zlib.crc32(r[0].encode()), r[0]))
+    model = train([(text, int(label)) for _, text, label in listed])
+    return pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias]})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
