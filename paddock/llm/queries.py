@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.llm import bpe, classifier, exact_dedup, license_scan, minhash, packing, quality_rules, secrets, suffix_dedup, url_filter
-from paddock.llm.common import read_table
+from paddock.llm.common import UPPER, read_table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,4 +56,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op9_suffix_dedup, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+BLANK = "[^\\x20\\x09-\\x0D]"
+
+#: DuckDB SQL. op3's twin holds for tables whose pages state no canonical link or redirect, as the given ones; tests cover links.
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": """
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op4_exact_dedup": f"""
+WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""",
+    "op10_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{BLANK}+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_rep FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{BLANK}') GROUP BY 1),
+c AS (SELECT d.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN cov ON cov.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 2 * n_dup_lines > len(string_split(text, chr(10)))
+  OR 2 * length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) > length(regexp_replace(text, '\\P{{L}}', '', 'g')) OR 5 * (length(text) - length(replace(text, '!!', ''))) > 2 * n_words) AS kept FROM b""",
+}
