@@ -13,10 +13,11 @@ from paddock.llm.common import durable
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of ``edges`` (columns a, b): component is the least node reachable.
 
-    Each round gives every node the least of itself and its neighbours as parent, takes
-    that one's parent, and replaces both ends of each edge by their parents; edges inside one
-    parent go. The least node of a component is always its own parent, so it is what
-    remains. A round at least halves the number of nodes, so there are about log(n) rounds.
+    Each round gives every node the least of itself and its neighbours as parent, follows
+    parents, each time twice as far, up to the root, and replaces both ends of each edge by
+    their roots; edges inside one tree go. The least node of a component is always its own
+    root, so it is what remains. Every root has a child, so a round at least halves the
+    nodes, and there are log(n) rounds of log(n) steps at most; stars take one of each.
     Minima are merged before the shuffle; joins by parent are ones that Spark splits when
     one parent has many children. Null ends, loops and repeated edges don't matter.
     """
@@ -28,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select("b", "a"))
         least = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
         parent = durable(follow(least, least))
+        while not parent.where("moved").isEmpty():
+            parent = durable(follow(parent, parent))
         rounds.append(parent)
         a = live.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
         ab = a.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
@@ -40,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def follow(child: DataFrame, parent: DataFrame) -> DataFrame:
-    """(node, parent): each child's parent replaced by that one's own parent, where it has one."""
+    """(node, parent, moved): each child's parent replaced by that one's own parent, where it has one; moved if that differs."""
     up = parent.select(F.col("node").alias("via"), F.col("parent").alias("up"))
-    return child.join(up, child.parent == up.via, "left").select("node", F.coalesce("up", "parent").alias("parent"))
+    return child.join(up, child.parent == up.via, "left").select("node", F.coalesce("up", "parent").alias("parent"), F.coalesce(F.col("up") != F.col("parent"), F.lit(False)).alias("moved"))
