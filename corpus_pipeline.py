@@ -43,8 +43,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in their texts replaced by a mark."""
-    return secrets.redact(docs, secrets.scan_secrets(docs))
+    """All documents, the secrets in their texts replaced by a mark. Rows without an id go by their text's hash, not as one group."""
+    by_text = F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = docs.withColumn("__key", F.coalesce(F.concat(F.lit("id:"), F.col("doc_id").cast("string")), by_text))
+    return secrets.redact(keyed, secrets.scan_secrets(keyed, "__key"), "__key").drop("__key")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

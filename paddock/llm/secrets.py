@@ -1,7 +1,7 @@
 """Secret scan: candidate strings judged by a random forest, in DataFrame and MLlib operations only.
 
-Every word with a run of 16 or more key characters gives a candidate. Its features are its
-length, how often its kind of character changes, how much of it dictionary words cover,
+Every run of 16 or more key characters is a candidate; a word may hold several. Its features
+are its length, how often its kind of character changes, how much of it dictionary words cover,
 whether it looks like a path, and the words beside it. A random forest trained on labelled
 findings takes out the false positives.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from paddock.llm.common import ascii_lower, durable, texts, words
 
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
+#: What belongs to a candidate's own part of a word: no quotes, brackets and separators of fields.
+PART = "[^\"'`,;|?&=<>(){}\\[\\]]*"
 #: Words that announce a secret, and words that announce another kind of long string.
 ANNOUNCES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
 DENIES = "sha|md5|commit|checksum|hash|digest|uuid|guid|example|sample|dummy|placeholder|version"
@@ -29,7 +31,12 @@ NEAR = ("before2", "before", "after")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, word, candidate, before2, before, after): words with a candidate, at their place among the words."""
+    """(doc_id, at, piece, candidate, lead, before2, before, after): all candidates of each word, at the word's place among the words.
+
+    ``lead`` is what stands between the candidate before it, or the word's start, and the
+    candidate. Beside a later candidate of a word stand the candidates next to it, not the
+    word's neighbours. ``piece`` is the word, or the candidate's own part of it.
+    """
     # No filter stands between these steps: one pushed down would split the text again for each of its words.
     doc = texts(docs, id_col, text_col).select("doc_id", words(F.col("text")).alias("w"))
     every = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
@@ -37,7 +44,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = lambda i, d: F.coalesce(F.get("w", i + d), F.lit(""))
     found = F.transform("places", lambda i: F.struct(i.alias("at"), F.get("w", i).alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before"), near(i, 1).alias("after")))
     one = doc.select("doc_id", F.explode_outer(found).alias("f")).where("f IS NOT NULL").select("doc_id", "f.*")
-    return one.withColumn("candidate", F.regexp_extract("word", f"({CANDIDATE})", 1))
+    one = one.withColumns({"runs": F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), "leads": F.split("word", CANDIDATE)})
+
+    def judged(c: Column, k: Column) -> Column:
+        lead, last = F.get("leads", k), k == F.size("runs") - 1
+        left, right = F.regexp_extract(F.right(lead, F.lit(64)), f"{PART}$", 0), F.regexp_extract(F.get("leads", k + 1), f"^{PART}", 0)
+        own = F.concat(F.when(left == ".", "").otherwise(left), c, right)
+        return F.struct(
+            F.when(F.size("runs") == 1, F.col("word")).otherwise(own).alias("piece"), c.alias("candidate"), lead.alias("lead"),
+            F.when(k == 0, F.col("before2")).otherwise("").alias("before2"),
+            F.when(k == 0, F.col("before")).otherwise(F.get("runs", k - 1)).alias("before"),
+            F.when(last, F.col("after")).otherwise(F.get("runs", k + 1)).alias("after"),
+        )
+
+    return one.select("doc_id", "at", F.explode_outer(F.transform("runs", judged)).alias("f")).select("doc_id", "at", "f.*")
 
 
 def dictionary(found: DataFrame, limit: int = DICTIONARY_WORDS) -> list[str]:
@@ -54,8 +74,7 @@ def share(rest: Column, c: Column) -> Column:
 def featured(found: DataFrame, known: list[str]) -> DataFrame:
     """``found`` with the columns of FEATURES, all double."""
     c = F.col("candidate")
-    lead = F.expr("substring_index(word, candidate, 1)")
-    beside = F.lower(F.concat_ws(" ", "before2", "before", lead))
+    beside = F.lower(F.concat_ws(" ", "before2", "before", "lead"))
     uncovered = F.regexp_replace(F.lower(c), "|".join(known), "") if known else c
     flag = lambda b: F.when(b, 1.0).otherwise(0.0)
     return found.withColumns({
@@ -68,10 +87,10 @@ def featured(found: DataFrame, known: list[str]) -> DataFrame:
         "digits_only": flag(c.rlike("^[0-9_+/-]+$")),
         "hex_only": flag(c.rlike("^[0-9a-f]+$") | c.rlike("^[0-9A-F]+$")),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
-        "path": flag(F.col("word").rlike(r"://|www\.|^[./~]|[A-Za-z0-9]/[A-Za-z]+/|\.[a-z]{2,4}$")),
+        "path": flag(F.col("piece").rlike(r"://|www\.|^[./~]|[A-Za-z0-9]/[A-Za-z]+/|\.[a-z]{2,4}$")),
         "announced": flag(beside.rlike(ANNOUNCES)),
         "denied": flag(beside.rlike(DENIES)),
-        "assigned": flag(F.concat_ws(" ", "before", lead).rlike("[=:][\"' ]*$")),
+        "assigned": flag(F.concat_ws(" ", "before", "lead").rlike("[=:][\"' ]*$")),
     })
 
 
@@ -106,8 +125,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, at, candidate, score, is_secret), one row per candidate of every row of ``docs``.
 
     ``labelled`` may give labelled findings with the columns of FEATURES and label; else
-    they come from ``label_findings``. ``at`` is the word's place in the text. Null and
-    empty texts have no candidate; repeated rows give theirs each. Without findings of
+    they come from ``label_findings``. ``at`` is the word's place in the text, the same for
+    all candidates of a word. Null and empty texts have no candidate; repeated rows give theirs each. Without findings of
     both labels there is no forest and the labels' own rule decides. An empty table gives
     an empty result.
     """
@@ -124,9 +143,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every secret among the findings of its doc_id replaced by ``mark``; all other columns stay."""
-    own = findings.where("is_secret AND doc_id IS NOT NULL").select("doc_id", "candidate").distinct()
+    """``docs`` with every secret among the findings of its doc_id replaced by ``mark``; all other columns stay.
+
+    A null doc_id counts as a value: its rows share their findings.
+    """
+    own = findings.where("is_secret").select("doc_id", "candidate").distinct()
     per_doc = own.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("__secrets"))
-    joined = docs.join(per_doc, F.col(id_col) == F.col("__of"), "left")
+    joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("__of")), "left")
     clean = F.aggregate("__secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mark)))
     return joined.select(*[F.coalesce(clean, F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

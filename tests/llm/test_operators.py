@@ -230,6 +230,23 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_every_secret_of_a_word_and_of_rows_without_id(spark):
+    import corpus_pipeline
+
+    h = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    plain = 'some plain words here token = "{}" and /usr/local/share/doc/files or 1234567890123456 nordlichtunverständlich thesuperlongwordwithoutend more'
+    several = [
+        f'{{"id":"{h(1)}","token":"{h(2)}","url":"https://a.org/x"}}', f"https://a.org/some/very/long/path/here?api_key={h(3)}&token={h(4)}",
+        f"user1234567890abc:{h(5)}", f"{h(6)}.{h(7)}.{h(8)}", f"没有空白的文字token={h(9)}，password：{h(10)}。", f"MY_SERVICE_SECRET_KEY={h(11)}",
+    ]
+    rows = [(i, plain.format(h(1000 + i))) for i in range(40)] + [(100 + i, t) for i, t in enumerate(several)] + [(None, f'token="{h(12)}" x'), (None, f'api_key={{"a":"{h(13)}","key":"{h(14)}"}}')]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan_secrets(d)
+    assert {h(i) for i in range(1, 15)} <= {r.candidate for r in found.where("is_secret").collect()}
+    for clean in (secrets.redact(d, found), corpus_pipeline.without_secrets(spark, d, DATA)):
+        assert clean.columns == d.columns and clean.count() == len(rows) and clean.where(F.col("text").rlike("[0-9a-f]{40}")).count() == 0
+
+
 def test_url_aliases_take_blocks_and_allows_stand(spark):
     page = lambda i, url, html="": (i, url, html)
     rows = [
