@@ -79,7 +79,7 @@ CONSENSUS = [
 
 
 def both(t: Tables) -> DataFrame:
-    second = t.predictions.select("race_id", "horse_number", F.col("pred_top3_secondary").alias("pred_top3")).where("horse_number <= 8")
+    second = t.predictions.select("race_id", "horse_number", F.col("pred_top3_secondary").alias("pred_top3"))
     return p.consensus(scored(t).drop("pred_top3_secondary"), second)
 
 
