@@ -7,10 +7,13 @@ those of its URLs that have no rule of their own. An explicit allow is such a ru
 always stands.
 """
 
-from __future__ import annotations
+import re
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paddock.llm.common import ascii_lower
 from paddock.llm.components import components
@@ -23,8 +26,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical\b)[^>]*>"
+REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
+ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+BASE_TAG = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 REFRESH_URL = r"(?is)\burl\s*=\s*['\"]?\s*([^\"'>\s]+)"
 
@@ -44,17 +49,43 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def href_of(tag: Column) -> Column:
+    """A tag's trimmed href, or null."""
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(tag, HREF, i)), F.lit("")) for i in (1, 2, 3)])
+
+
+def joined(base: str, to: str) -> str | None:
+    """The absolute URL that ``to`` names on a page at ``base``; None if there is none."""
+    if ABSOLUTE.match(to):
+        return to
+    scheme, sep, rest = base.partition("://")
+    if not sep or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", to):
+        return None
+    try:
+        return scheme + urljoin(f"http://{rest}", to).removeprefix("http")
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def resolved(url: pd.Series, base: pd.Series, to: pd.Series) -> pd.Series:
+    bases = (u if b is None else joined(u, b) or u for u, b in zip(url, base))
+    return pd.Series([joined(b, t) for b, t in zip(bases, to)], dtype=object)
+
+
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target): canonical links and refresh redirects that the pages' HTML states, absolute or by path."""
+    """(url, target): all canonical links and refresh redirects that the pages' HTML states.
+
+    Targets are resolved against the first <base href>, itself resolved against the page's URL, or against that URL.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    link, refresh = F.regexp_extract(html, LINK_TAG, 0), F.regexp_extract(html, REFRESH_TAG, 0)
-    href = F.coalesce(*[F.nullif(F.regexp_extract(link, HREF, i), F.lit("")) for i in (1, 2, 3)])
-    targets = F.array(href, F.nullif(F.regexp_extract(refresh, REFRESH_URL, 1), F.lit("")))
-    found = pages.where(html.rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), F.explode(targets).alias("to")).where("url IS NOT NULL AND `to` IS NOT NULL")
-    scheme, origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    to = F.col("to")
-    whole = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(origin, to))
-    return found.select("url", whole.alias("target")).where("target IS NOT NULL")
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    refresh = F.transform(every(REFRESH_TAG), lambda tag: F.nullif(F.regexp_extract(tag, REFRESH_URL, 1), F.lit("")))
+    targets = F.concat(F.transform(every(LINK_TAG), href_of), refresh)
+    named = href_of(F.regexp_extract(html, BASE_TAG, 0))
+    some = pages.where(html.rlike("(?i)canonical|refresh"))
+    found = some.select(F.col(url_col).alias("url"), named.alias("base"), F.explode(targets).alias("to")).where("url IS NOT NULL AND `to` IS NOT NULL")
+    return found.select("url", resolved("url", "base", "to").alias("target")).where("target IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

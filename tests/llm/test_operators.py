@@ -263,6 +263,26 @@ def test_url_aliases_take_blocks_and_allows_stand(spark):
     }
 
 
+def test_all_links_of_a_page_are_resolved(spark):
+    at, link = "https://a.org/d/e/page?x=1#y", lambda href, rel='"canonical"': f"<link rel={rel} href='{href}'>"
+    refresh = lambda to: f'<META HTTP-EQUIV="refresh" CONTENT="0; URL={to}">'
+    cases = [
+        (at, link("p.html"), {"https://a.org/d/e/p.html"}), (at, link("./b"), {"https://a.org/d/e/b"}), (at, link("../a"), {"https://a.org/d/a"}), (at, link("../../../a/.."), {"https://a.org/"}),
+        (at, link("?q=2"), {"https://a.org/d/e/page?q=2"}), (at, link("/r"), {"https://a.org/r"}), (at, link("//b.net/es/z"), {"https://b.net/es/z"}), ("https://a.org", link("p"), {"https://a.org/p"}),
+        (at, '<base href="https://c.net/es/">' + link("p") + refresh("q?z"), {"https://c.net/es/p", "https://c.net/es/q?z"}), (at, '<base href="/f/">' + link("p"), {"https://a.org/f/p"}),
+        (at, link("one") + refresh("two") + link("three") + refresh("https://x.net/es/4"), {"https://a.org/d/e/one", "https://a.org/d/e/two", "https://a.org/d/e/three", "https://x.net/es/4"}),
+        (at, link("p", '"alternate canonical"') + link("n", '"canonical-not"'), {"https://a.org/d/e/p"}), (at, link("mailto:x@y"), set()), ("no scheme", link("p"), set()),
+    ]
+    pages = spark.createDataFrame([(i, url, html) for i, (url, html, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = defaultdict(set)
+    for r in url_filter.alias_links(pages).collect():
+        got[r.url].add(r.target)
+    for url in {c[0] for c in cases}:
+        assert got[url] == set().union(*[c[2] for c in cases if c[0] == url])
+    alias = [(1, "https://free.org/x/y", link("../up", '"shortlink canonical"')), (2, "https://free.org/up", refresh("https://ok.org/") + refresh("//bad.net/es/1")), (3, "https://bad.net/es/1", "")]
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(alias, "page_id long, url string, html string")).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_licenses(spark, empty):
     rows = [(1, "Copyright 2020 Someone\nreleased UNDER the mit licence"), (2, "words\nLicensed under the Apache License; version 2.0!\nmore"), (3, None), (4, "MIT"), (4, "Licensed under CC BY-NC 4.0.")]
     got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
