@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paddock.plans.registry import query
 from paddock.sources.adapter import Tables
+from paddock.sources.scratch import folder
 from paddock.streaming import odds as o
 
 M = "date_diff('second', snapshot_at, post_time_at) / 60.0::DOUBLE"
@@ -89,7 +89,7 @@ def as_stream(t: Tables) -> DataFrame:
 
 
 def _run(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    return o.drain(stream, f"s{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="spark-stream-"), mode)
+    return o.drain(stream, f"{folder(t.spark)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query(LATEST.format(keys="horse_number, bucket"), Z)

@@ -67,11 +67,16 @@ def stream_latest(snapshots: DataFrame) -> DataFrame:
     return latest(bucketed(snapshots).withWatermark("snapshot_at", DELAY), ["race_id", "horse_number", "bucket"])
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and gives what it wrote."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there now and gives what it wrote; state and result stay in ``folder``, which all executors share."""
+    spark, out = stream.sparkSession, f"{folder}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        run = writer.format("parquet").option("path", out).start()
+    else:
+        run = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def live_join(scored: DataFrame, latest_odds: DataFrame) -> DataFrame:
