@@ -29,6 +29,8 @@ class Rule:
     base_pred_min: float | None = None
     secondary_pred_min: float | None = None
     avg_pred_min: float | None = None
+    max_rank_max: int | None = None
+    min_pred_min: float | None = None
 
 
 def load_rule(given: dict, overrides: dict | None = None) -> Rule:
@@ -58,11 +60,13 @@ def _fold(parts: list[Column]) -> Column:
 
 def predicate(rule: Rule, pred: str = "pred_top3") -> Column:
     """The rule as one condition. A null track isn't an excluded one; other nulls never pass."""
-    at_least = {pred: rule.pred_min, "place_odds_mid": rule.odds_min, "distance": rule.distance_min, "expected_value_mid": rule.ev_mid_min}
+    at_least = {pred: rule.pred_min, "place_odds_mid": rule.odds_min, "distance": rule.distance_min, "expected_value_mid": rule.ev_mid_min, "min_pred": rule.min_pred_min}
     parts = [F.col(c) >= v for c, v in at_least.items() if v is not None]
     parts += [F.col(c) < v for c, v in {"place_odds_mid": rule.odds_max, "distance": rule.distance_max}.items() if v is not None]
     if rule.pred_rank_max is not None:
         parts.append(F.col("pred_rank") <= rule.pred_rank_max)
+    if rule.max_rank_max is not None:
+        parts.append(F.col("max_rank") <= rule.max_rank_max)
     if rule.include_track_ids is not None:
         parts.append(F.col("track_id").isin(*rule.include_track_ids))
     if rule.exclude_track_ids is not None:

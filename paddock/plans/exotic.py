@@ -9,6 +9,7 @@ from paddock.operators import exotic as x
 from paddock.operators import portfolio as p
 from paddock.operators import rules as r
 from paddock.operators.rules import Rule
+from paddock.operators.search import consensus_rules, trio_rules, wide_rules
 from paddock.operators.search import rule_search as searched
 from paddock.plans.registry import query
 from paddock.plans.rules import STABLE, SUMS, TIERS, PER_FOLD, S, condition, rounded, scored, taken
@@ -43,7 +44,7 @@ def found(df: DataFrame) -> DataFrame:
     return rounded(df.select("rule", "races", "selections", "hits", "return_mid_pct", "min_fold_return_mid_pct", "buy_rate_pct"))
 
 
-#: The searched odds and ranks of pairs and of triples, thinned to a list that a SQL text can hold.
+#: Odds and ranks of pairs and of triples, a list that a SQL text can hold; the queries named _all search the whole grids.
 WIDE_RULES = [Rule(f"w{i}", odds_min=lo, odds_max=hi, pred_rank_max=top) for i, (top, (lo, hi)) in enumerate((a, b) for a in (1, 3, 5, 10) for b in ((1.0, 8.0), (1.0, 20.0), (2.0, 30.0), (5.0, 50.0), (10.0, 100.0)))]
 TRIO_RULES = [Rule(f"t{i}", odds_min=lo, odds_max=hi, pred_rank_max=top) for i, (top, (lo, hi)) in enumerate((a, b) for a in (1, 3, 5, 10, 30) for b in ((1.0, 100.0), (5.0, 200.0), (20.0, 300.0), (50.0, 500.0)))]
 
@@ -63,6 +64,18 @@ def trio_search(t: Tables) -> DataFrame:
     return found(searched(x.as_rows(triples(t), 30), TRIO_RULES, 50, 5))
 
 
+@query()
+def wide_search_all(t: Tables) -> DataFrame:
+    """The whole grid of 53,472 rules."""
+    return found(searched(x.as_rows(pairs(t)), wide_rules(), 50, 10))
+
+
+@query()
+def trio_search_all(t: Tables) -> DataFrame:
+    """The whole grid of 33,168 rules."""
+    return found(searched(x.as_rows(triples(t), 30), trio_rules(), 50, 10))
+
+
 @query("SELECT race_id, date, horse_number_1, horse_number_2, CAST(score_rank AS INT) AS score_rank, target_top3 AS hit, place_odds_mid AS odds, target_top3 * place_odds_mid * 100 AS payout FROM pairs WHERE score_rank <= 3 AND max_rank <= 3 AND place_odds_mid >= 10", S, PAIR, PAIRS)
 def exotic_export(t: Tables) -> DataFrame:
     return x.exported(pairs(t).where("score_rank <= 3 AND max_rank <= 3 AND place_odds_mid >= 10"), 2)
@@ -73,6 +86,15 @@ CONSENSUS = [
     Rule("union_value_odds", None, 4.0, 6.0, 1800, 2200, exclude_track_ids=(7, 10), mode="union", base_pred_min=0.50, secondary_pred_min=0.40),
     Rule("union_value_odds_turf", None, 4.0, 6.0, 1800, 2200, include_track_ids=(5, 6, 8, 9), surface_id=0, mode="union", base_pred_min=0.50, secondary_pred_min=0.40),
     Rule("union_wide_value", None, 3.0, 5.0, 1800, 2200, include_track_ids=(4, 5, 6, 8, 9), mode="union", base_pred_min=0.35, secondary_pred_min=0.40),
+    Rule("union_broad_30_value", None, 3.0, 6.0, include_track_ids=(4, 5, 6, 8, 9), mode="union", base_pred_min=0.35, secondary_pred_min=0.35),
+    Rule("union_mid_20_value", None, 3.0, 5.0, 1400, 2200, include_track_ids=(4, 5, 6, 8, 9), mode="union", base_pred_min=0.35, secondary_pred_min=0.35),
+    Rule("union_mid_20_balanced", None, 2.5, 6.0, mode="union", base_pred_min=0.45, secondary_pred_min=0.45),
+    Rule("union_mid_20_stable", None, 2.5, 6.0, 1400, exclude_track_ids=(6,), mode="union", base_pred_min=0.50, secondary_pred_min=0.40),
+    Rule("pedigree_mid_20_stable_value", None, 3.2, 6.0, include_track_ids=(4, 5, 6, 8, 9), mode="intersection", base_pred_min=0.34, secondary_pred_min=0.36),
+    Rule("union_mid_25_value", None, 2.5, 6.0, 1400, mode="union", base_pred_min=0.50, secondary_pred_min=0.40),
+    Rule("union_broad_37_value", None, 3.0, 6.0, mode="union", base_pred_min=0.35, secondary_pred_min=0.35),
+    Rule("consensus_high_return", None, 3.0, 6.0, 1800, 2200, exclude_track_ids=(3, 7, 10), mode="intersection", base_pred_min=0.45, secondary_pred_min=0.40),
+    Rule("consensus_precise", None, 3.0, 6.0, 1800, 2200, exclude_track_ids=(3, 7, 10), mode="intersection", base_pred_min=0.45, secondary_pred_min=0.45),
     Rule("consensus_volume", None, 3.0, 6.0, 1800, 2200, exclude_track_ids=(3, 7, 10), mode="intersection", base_pred_min=0.35, secondary_pred_min=0.45),
     Rule("avg_balanced", None, 3.0, 6.0, 1800, 2200, exclude_track_ids=(3, 7, 10), mode="average", avg_pred_min=0.425),
 ]
@@ -91,9 +113,9 @@ def cons_join(t: Tables) -> DataFrame:
     return rounded(both(t).select("race_id", "horse_number", "pred_top3_mean"))
 
 
-@query(f"SELECT race_id, horse_number FROM c WHERE {condition(CONSENSUS[4])}", S, C)
+@query(f"SELECT race_id, horse_number FROM c WHERE {condition(CONSENSUS[-1])}", S, C)
 def cons_rule(t: Tables) -> DataFrame:
-    return both(t).where(r.predicate(CONSENSUS[4])).select("race_id", "horse_number")
+    return both(t).where(r.predicate(CONSENSUS[-1])).select("race_id", "horse_number")
 
 
 @query(STABLE, S, C, ("taken", taken(CONSENSUS, "c")), PER_FOLD)
@@ -111,6 +133,12 @@ def cons_search(t: Tables) -> DataFrame:
     return found(searched(both(t), CONS_RULES, 20, 2))
 
 
+@query()
+def cons_search_all(t: Tables) -> DataFrame:
+    """The whole grid of 85,176 rules in all three modes."""
+    return found(searched(both(t), consensus_rules(), 70, 10))
+
+
 FIRST = "CASE rule " + " ".join(f"WHEN '{q.name}' THEN {i}" for i, q in enumerate(CONSENSUS)) + " END"
 MERGED = ("merged", f"SELECT race_id, horse_number, fold, date, arg_min(rule, {FIRST}) AS rule, string_agg(rule, '+' ORDER BY rule) AS matched_rules, any_value(target_top3) AS target_top3, any_value(place_odds_min) AS place_odds_min, any_value(place_odds_mid) AS place_odds_mid, any_value(place_odds_max) AS place_odds_max FROM taken GROUP BY 1, 2, 3, 4")
 T = ("taken", taken(CONSENSUS, "c"))
@@ -203,5 +231,5 @@ def ped_experiment(t: Tables) -> DataFrame:
     known = t.predictions.join(t.runner.select("race_id", "horse_number", "horse_id"), ["race_id", "horse_number"]).join(t.horse.where("pedigree_fetch_status = 'fetched'"), "horse_id", "left_semi")
     gate(100.0 * known.count() / max(1, t.predictions.count()), 10.0)
     one = r.summary(p.merged(both(t), CONSENSUS), "matched_rules").select(F.lit("portfolio").alias("part"), F.col("matched_rules").alias("name"), "selections", "hits", "return_mid_pct")
-    two = searched(both(t), CONS_RULES, 20, 2).select(F.lit("search").alias("part"), F.col("rule").alias("name"), "selections", "hits", "return_mid_pct")
+    two = searched(both(t), consensus_rules(), 70, 10).select(F.lit("search").alias("part"), F.col("rule").alias("name"), "selections", "hits", "return_mid_pct")
     return rounded(one.unionByName(two))
