@@ -5,25 +5,27 @@ have equal anchors at the same place. Neighbouring windows with one anchor are o
 Segments whose anchors occur once hold no repeat. Segments that are equal as a whole are
 merged by a 128-bit fingerprint: all their windows repeat. The distinct segments of an
 anchor that is left are sorted: what follows the anchor as suffixes, what precedes it,
-reversed, likewise. The sort is deep-shallow: by words of 8 bytes to a shallow depth, then
-strings that still agree, which share long prefixes, are put in order by a blind trie. From
+reversed, likewise. The sort is deep-shallow: multikey quicksort by words of 8 bytes to a
+shallow depth, then strings that still agree, which share long prefixes, are put in order by a
+blind trie. From
 both orders and their common prefix lengths follows, for every place of a window about its
-anchor, which segments have the same window there.
+anchor, which segments have the same window there. An anchor that so many distinct segments
+share that one task couldn't hold them has its windows counted instead.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import durable, slices, texts
+from paddock.llm.common import slices, stored, texts
 
 WINDOW, SEED = 200, 24
 #: Windows are looked at in stretches of so many bytes; a stretch's positions fit the low bits of a number.
@@ -51,8 +53,11 @@ class Powers:
         return value ^ (value >> np.uint64(31))
 
 
-def segments(data: bytes, first: Powers, second: Powers) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, windows, lead, anchor hash, fingerprint) of one text's segments, a stretch at a time: lead bytes precede the anchor."""
+def segments(data: bytes, first: Powers, second: Powers | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, shape, anchor hash, fingerprint) of one text's segments, a stretch at a time; without ``second`` the anchors only.
+
+    ``shape`` is 256 times the number of windows and the number of bytes that precede the anchor.
+    """
     for base in range(0, max(len(data) - WINDOW + 1, 0), STRETCH):
         part = np.frombuffer(data, np.uint8)[base : base + STRETCH + WINDOW - 1]
         sums = first.sums(part)
@@ -67,59 +72,98 @@ def segments(data: bytes, first: Powers, second: Powers) -> Iterator[tuple[np.nd
             least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
         anchor = (least & np.uint64((1 << BITS) - 1)).astype(np.int64)
         start = np.flatnonzero(np.diff(anchor, prepend=-1))
+        found = seed[anchor[start]].view(np.int64)
+        if second is None:
+            yield (found,)
+            continue
         windows = np.diff(start, append=len(anchor))
-        lead = anchor[start] - start
-        print_ = second.hashes(second.sums(part), start, start + windows - 1 + WINDOW) ^ (windows * 256 + lead).astype(np.uint64)
-        yield start + base, windows, lead, seed[anchor[start]], print_
+        shape = windows * 256 + anchor[start] - start
+        print_ = second.hashes(second.sums(part), start, start + windows - 1 + WINDOW) ^ shape.astype(np.uint64)
+        yield start + base, shape, found, print_.view(np.int64)
+
+
+def anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, n): how many segments of a slice of texts have it."""
+    first = Powers(PRIME)
+    for batch in batches:
+        for part in slices(batch):
+            found = [a for text in part["text"].to_pylist() for (a,) in segments(text.encode(), first, None)]
+            if found:
+                anchor, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
 
 def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, second = Powers(PRIME), Powers(PRIME2)
     for batch in batches:
         for part in slices(batch):
-            rows: list[list[np.ndarray]] = [[] for _ in range(6)]
-            crc = np.zeros(len(part), np.int64)
+            rows: list[list[np.ndarray]] = [[] for _ in range(5)]
+            print_ = np.zeros(len(part), np.int64)
             for i, text in enumerate(part["text"].to_pylist()):
                 data = text.encode()
-                crc[i] = zlib.crc32(data)
+                print_[i] = signed(data)
                 for found in segments(data, first, second):
                     for column, values in zip(rows, (np.full(len(found[0]), i), *found)):
                         column.append(values)
-            if not rows[0]:
-                continue
-            owner, start, windows, lead, seed, print_ = (np.concatenate(c) for c in rows)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"].take(take), pa.array(crc[owner]), pa.array(start), pa.array(windows * 256 + lead), pa.array(seed.view(np.int64)), pa.array(print_.view(np.int64))],
-                names=["doc_id", "crc", "start", "shape", "anchor", "segment"],
-            )
+            if rows[0]:
+                owner, *columns = (np.concatenate(c) for c in rows)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), pa.array(print_[owner]), *map(pa.array, columns)], names=["doc_id", "print", "start", "shape", "anchor", "segment"])
+
+
+def signed(data: bytes) -> int:
+    """A 64-bit hash that tells apart rows of one doc_id."""
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
 def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle, with the crc that tells apart rows of one doc_id."""
+    """Texts compressed for the shuffle."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for part in slices(batch):
             data = [t.encode() for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array([press.compress(d) for d in data], pa.binary())], names=["doc_id", "crc", "packed"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(map(signed, data), pa.int64()), pa.array([press.compress(d) for d in data], pa.binary())], names=["doc_id", "print", "packed"])
 
 
-def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (anchor, lead, windows, body, doc_id, crc, start, single) for each wanted segment of a packed text."""
+def wanted_segments(part: pa.RecordBatch, hot: bool) -> Iterator[tuple[int, dict, bytes]]:
+    """(row, segment, its bytes) for each wanted segment that is hot, or isn't, of packed texts."""
     press = zstandard.ZstdDecompressor()
+    for i, wanted in enumerate(part["wanted"].to_pylist()):
+        if any(w["hot"] == hot for w in wanted or ()):
+            data = press.decompress(part["packed"][i].as_py())
+            for w in wanted:
+                if w["hot"] == hot:
+                    yield i, w, data[w["start"] : w["start"] + w["shape"] // 256 - 1 + WINDOW]
+
+
+def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (anchor, lead, windows, body, start, single, doc_id, print) for each wanted segment that isn't hot."""
     for batch in batches:
         for part in slices(batch, "packed"):
-            rows, owner = [], []
-            for i, (packed, wanted) in enumerate(zip(part["packed"].to_pylist(), part["wanted"].to_pylist())):
-                data = press.decompress(packed)
-                for w in wanted:
-                    lead, windows, at = w["shape"] % 256, w["shape"] // 256, w["start"]
-                    rows.append((w["anchor"], lead, windows, data[at : at + windows - 1 + WINDOW], at, w["single"]))
-                    owner.append(i)
+            rows = [(w["anchor"], w["shape"] % 256, w["shape"] // 256, body, w["start"], w["single"], i) for i, w, body in wanted_segments(part, False)]
             if rows:
+                *columns, owner = zip(*rows)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), part["doc_id"].take(take), part["print"].take(take)], names=["anchor", "lead", "windows", "body", "start", "single", "doc_id", "print"])
+
+
+def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (anchor, lead, one, two, start, single, doc_id, print) for each window of the hot segments; one and two are its hashes."""
+    first, second = Powers(PRIME), Powers(PRIME2)
+    for batch in batches:
+        for part in slices(batch, "packed"):
+            rows: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for i, w, body in wanted_segments(part, True):
+                data, at = np.frombuffer(body, np.uint8), np.arange(w["shape"] // 256)
+                hashes = [p.hashes(p.sums(data), at, at + WINDOW).view(np.int64) for p in (first, second)]
+                same = lambda v: np.full(len(at), v)  # noqa: E731, B023
+                for column, values in zip(rows, (same(i), same(w["anchor"]), w["shape"] % 256 - at, *hashes, w["start"] + at, same(w["single"]))):
+                    column.append(values)
+            if rows[0]:
+                owner, *columns = (np.concatenate(c) for c in rows)
                 take = pa.array(owner)
-                anchor, lead, windows, body, start, single = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(lead, pa.int64()), pa.array(windows, pa.int64()), pa.array(body, pa.binary()), part["doc_id"].take(take), part["crc"].take(take), pa.array(start, pa.int64()), pa.array(single)], names=["anchor", "lead", "windows", "body", "doc_id", "crc", "start", "single"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part["doc_id"].take(take), part["print"].take(take)], names=["anchor", "lead", "one", "two", "start", "single", "doc_id", "print"])
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -168,24 +212,40 @@ def differ(a: bytes, b: bytes) -> int:
     return lo
 
 
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``words`` within their groups, and for each place the number of its run; rows of a run agree in all words.
+
+    All runs are split at once, each by its own pivot into less, equal and greater; the
+    equal part goes on with the next word, the others with the same one.
+    """
+    order = np.argsort(group, kind="stable")
+    run = np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0)
+    depth = np.zeros(len(order), np.int64)
+    while True:
+        at = np.flatnonzero((np.bincount(run)[run] > 1) & (depth < words.shape[1]))
+        if not len(at):
+            return order, run
+        own = run[at]
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        size = np.diff(begin, append=len(at))
+        word = words[order[at], depth[at]]
+        middle = np.sort([word[begin], word[begin + size // 2], word[begin + size - 1]], axis=0)[1]
+        pivot = np.repeat(middle, size)
+        part = 3 * own + 1 + (word > pivot) - (word < pivot)
+        again = np.argsort(part, kind="stable")
+        part = part[again]
+        order[at] = order[at[again]]
+        depth[at] += part % 3 == 1
+        borders = np.diff(run, prepend=-1) != 0
+        borders[at[1:]] |= part[1:] != part[:-1]
+        run = np.cumsum(borders) - 1
+
+
 def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of a byte matrix, group by group, and each one's common prefix with the one before (-1 across groups)."""
     n, width = strings.shape
     words = np.ascontiguousarray(np.pad(strings, ((0, 0), (0, -width % 8)))).view(">u8").astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    run = np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0)
-    for depth in range(min(SHALLOW // 8, words.shape[1])):
-        size = np.bincount(run)
-        tied = np.flatnonzero(size[run] > 1)
-        if not len(tied):
-            break
-        word = words[order[tied], depth]
-        again = np.lexsort((word, run[tied]))
-        order[tied] = order[tied[again]]
-        parts = np.zeros(n, bool)
-        parts[tied[1:]] = (word[again][1:] != word[again][:-1]) & (run[tied[1:]] == run[tied[:-1]])
-        parts[1:] |= run[1:] != run[:-1]
-        run = np.cumsum(parts)
+    order, run = multikey_quicksort(group, words[:, : SHALLOW // 8])
     begin = np.flatnonzero(np.diff(run, prepend=-1))
     for lo, hi in zip(begin.tolist(), np.append(begin[1:], n).tolist()):
         if hi - lo > 1:
@@ -229,8 +289,10 @@ def repeated_windows(group: np.ndarray, lead: np.ndarray, windows: np.ndarray, b
     return out
 
 
-#: Segments that are sorted together, about; a group is never divided.
+#: Segments that are sorted together, about; a group is never divided, so it has this many distinct segments at most.
 TOGETHER = 20_000
+#: Anchors with more distinct segments than this aren't sorted: their windows are counted one by one.
+HOT = 5_000
 
 
 def sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +322,9 @@ def spans_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
     anchor_at = table["start"].to_numpy() + lead
     take = pa.array(row)
     begin, end = anchor_at[row] - (high - 1), anchor_at[row] - low + WINDOW
-    columns = [table[c].combine_chunks().take(take) for c in ("doc_id", "crc")]
+    columns = [table[c].combine_chunks().take(take) for c in ("doc_id", "print")]
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-    yield pa.RecordBatch.from_arrays([*columns, pa.array(begin), pa.array(end)], names=["doc_id", "crc", "begin", "end"])
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(begin), pa.array(end)], names=["doc_id", "print", "begin", "end"])
 
 
 def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +349,7 @@ def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of ``docs``.
 
     A byte goes if a 200-byte string that covers it also starts anywhere else, in the same
@@ -297,21 +359,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     doc = texts(docs, id_col, text_col)
     kind = doc.schema["doc_id"].dataType.simpleString()
-    row = f"doc_id {kind}, crc long"
-    seg = durable(doc.where(F.octet_length("text") >= WINDOW).mapInArrow(segment_rows, f"{row}, start long, shape long, anchor long, segment long"))
+    row = f"doc_id {kind}, print long"
+    long = doc.where(F.octet_length("text") >= WINDOW)
+    # Anchors seen once are the bulk and end here; texts are scanned again instead of keeping all their segments.
+    often = long.mapInArrow(anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    seg = stored(long.mapInArrow(segment_rows, f"{row}, start long, shape long, anchor long, segment long").join(often, "anchor", "left_semi"))
     same = seg.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("of"))
     kinds = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    # Anchors seen once are the bulk and end here.
-    busy = durable(same.join(kinds.where("kinds > 1").select("anchor"), "anchor", "left_semi").withColumn("sort", F.lit(True)).unionByName(same.join(kinds.where("kinds = 1").select("anchor"), "anchor", "left_semi").where("copies > 1").withColumn("sort", F.lit(False))))
-    use = durable(seg.join(busy, ["anchor", "segment"]))
-    whole = use.where("copies > 1").select("doc_id", "crc", F.col("start").alias("begin"), (F.col("start") + F.floor(F.col("shape") / 256) - 1 + WINDOW).alias("end"))
-    wanted = use.where("sort AND (copies = 1 OR doc_id <=> of)").select("doc_id", "crc", F.struct("anchor", "start", "shape", (F.col("copies") == 1).alias("single")).alias("w"))
-    wanted = wanted.groupBy("doc_id", "crc").agg(F.collect_set("w").alias("wanted"))
+    use = stored(seg.join(same, ["anchor", "segment"]).join(kinds, "anchor"))
+    whole = use.where("copies > 1").select("doc_id", "print", F.col("start").alias("begin"), (F.col("start") + F.floor(F.col("shape") / 256) - 1 + WINDOW).alias("end"))
+    w = F.struct("anchor", "start", "shape", (F.col("copies") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
+    wanted = use.where("kinds > 1 AND (copies = 1 OR doc_id <=> of)").groupBy("doc_id", "print").agg(F.collect_set(w).alias("wanted"))
+
+    # Both joins deal the texts alike and keep all of them, so Spark shuffles them once and reads that shuffle twice.
     packed = doc.mapInArrow(packed_texts, f"{row}, packed binary")
-    same_row = lambda a, b: a.doc_id.eqNullSafe(b.id) & (a.crc == b.c)
-    named = wanted.withColumnsRenamed({"doc_id": "id", "crc": "c"})
-    body = packed.join(named, same_row(packed, named)).select("doc_id", "crc", "packed", "wanted").mapInArrow(cut_segments, f"anchor long, lead long, windows long, body binary, {row}, start long, single boolean")
-    sorted_ = body.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_segments, f"{row}, begin long, end long")
-    spans = whole.unionByName(sorted_).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
-    spans = spans.select(F.col("doc_id").alias("id"), F.col("crc").alias("c"), F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
-    return packed.join(spans, same_row(packed, spans), "left").select("doc_id", "packed", "begins", "ends").mapInArrow(remover, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    of_row = lambda df: df.withColumnsRenamed({"doc_id": "id", "print": "p"})
+    with_texts = lambda df: packed.join(of_row(df), packed.doc_id.eqNullSafe(F.col("id")) & (packed.print == F.col("p")), "left")
+    asked = with_texts(wanted).select("doc_id", "print", "packed", "wanted")
+    body = asked.mapInArrow(cut_segments, f"anchor long, lead long, windows long, body binary, start long, single boolean, {row}")
+    spans = whole.unionByName(body.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_segments, f"{row}, begin long, end long"))
+    if not use.where(F.col("kinds") > hot).isEmpty():
+        spans = spans.unionByName(hot_spans(asked.mapInArrow(cut_windows, f"anchor long, lead long, one long, two long, start long, single boolean, {row}")))
+    spans = spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
+    judged = with_texts(spans.select("doc_id", "print", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends")))
+    return judged.select("doc_id", "packed", "begins", "ends").mapInArrow(remover, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def hot_spans(windows: DataFrame) -> DataFrame:
+    """(doc_id, print, begin, end) of the repeated windows of single segments whose anchor has too many segments for one task to sort.
+
+    Windows of one anchor, place and pair of hashes are equal; they are counted before the shuffle and no task needs an anchor's whole group.
+    """
+    key = ["anchor", "lead", "one", "two"]
+    again = windows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    found = windows.where("single").join(again, key, "left_semi")
+    return found.select("doc_id", "print", F.col("start").alias("begin"), (F.col("start") + WINDOW).alias("end"))
