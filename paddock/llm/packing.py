@@ -16,7 +16,6 @@ a number that doesn't grow with the input; those are packed by first fit, longes
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.bpe import PieceSplitter
+from paddock.llm.bpe import piece_ids
 from paddock.llm.common import durable, slices, texts
 
 CAPACITY = 2048
 #: A rest is kept whole if its class's bins are filled to this share, or if it is shorter than capacity / LAST_CLASS.
 FILL = 0.985
 LAST_CLASS = 32
-#: Distinct pieces that a task remembers.
-KEPT_PIECES = 400_000
 END_ID = 1
 
 
@@ -52,44 +49,9 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-class PieceIds(PieceSplitter):
-    """Ids of whole texts from the library's model, each distinct piece encoded once; pieces are remembered up to a bound."""
-
-    def __init__(self, path: str, kept: int = KEPT_PIECES):
-        super().__init__(path)
-        self.model = self.library.model
-        self.kept = kept
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
-
-    def ids(self, batch: list[str]) -> list[np.ndarray]:
-        """One array of unsigned 32-bit ids for each text."""
-        split = [self.pieces(t) for t in batch]
-        new = set().union(*split) - self.place.keys()
-        if len(self.place) + len(new) > self.kept:
-            self.forget()
-            new = set().union(*split)
-        for piece in new:
-            shown = self.shown(piece)
-            self.place[piece] = len(self.starts) - 1
-            self.flat.extend([self.added[shown]] if shown in self.added else [t.id for t in self.model.tokenize(shown)])
-            self.starts.append(len(self.flat))
-        flat, starts = np.array(self.flat, np.uint32), np.array(self.starts)
-        out = []
-        for ps in split:
-            at = np.fromiter(map(self.place.__getitem__, ps), np.int64, len(ps))
-            first, size = starts[at], starts[at + 1] - starts[at]
-            ends = size.cumsum()
-            out.append(flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
-
-
 def cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task, seen = PieceIds(path), TaskContext.get().partitionId(), {}
+        codec, task, seen = piece_ids(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             for part in slices(batch):
                 owner, rows = [], []
