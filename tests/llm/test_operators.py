@@ -101,6 +101,17 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert got == want and bpe.encode(empty, tokenizer_path()).count() == 0
 
 
+def test_bpe_of_many_special_tokens_and_very_long_words(spark):
+    tok, sha = tokenizer(), lambda s: hashlib.sha256(s.encode()).hexdigest()
+    long = ["<|endoftext|> a " * 5000, "<|startoftext|>" * 5000, "ab" * 50_000, "é你" * 5_000, "Some words, and more. " * 50_000]
+    d = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.encode(d, tokenizer_path()).collect()}
+    n_ids = {r.doc_id: r.doc_tokens for r in packing.pack(d, tokenizer_path()).collect()}
+    for i, t in enumerate(long):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))) and n_ids[i] == len(ids) + 1
+
+
 def test_packing_holds_every_id_once(docs, rows, empty):
     pieces = packing.pack(docs, tokenizer_path()).toPandas()
     assert packing.pack(empty, tokenizer_path()).count() == 0
@@ -204,6 +215,18 @@ def test_repeated_strings(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeated_strings_of_hot_anchors(spark, docs):
+    """Passages of 60 to 320 bytes between different texts, sorted and counted by windows: the same rows."""
+    draw = np.random.default_rng(4)
+    word = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
+    passages = [word(n) for n in (60, 150, 199, 200, 320)]
+    rows = [(i, " ".join(word(150) + p + word(80) for p in passages)) for i in range(30)] + [(None, passages[4] * 2)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    plain = Counter(map(tuple, suffix_dedup.remove_repeats(both).collect()))
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(both, hot=1).collect())) == plain
+    assert all(r[2] >= 200 + 320 for r in plain if r[0] is not None and r[0] < 30 and r[1] == len(rows[0][1]))
+
+
 def test_deep_shallow_order():
     draw = np.random.default_rng(2)
     strings = np.concatenate([np.repeat(draw.integers(97, 99, (6, 120), np.uint8), 4, 0), draw.integers(97, 100, (40, 120), np.uint8)])
