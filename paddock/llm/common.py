@@ -74,17 +74,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(at)
 
 
+def text_print(text: Column) -> Column:
+    """A 64-bit hash of the text, null as the empty one, which tells apart rows of one doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def printed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``texts`` with their ``print``."""
+    return texts(docs, id_col, text_col).withColumn("print", text_print(F.col("text")))
+
+
 def pack_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): each text's UTF-8 bytes compressed, for texts that go through a shuffle."""
+    """(doc_id, print, packed) of ``printed`` rows: each text's UTF-8 bytes compressed, for texts that go through a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in slices(batch):
                 data = [press.compress(t.encode()) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(data, pa.binary())], names=["doc_id", "packed"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["print"], pa.array(data, pa.binary())], names=["doc_id", "print", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, packed binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long, packed binary")
 
 
 def unpack(packed: list[bytes]) -> list[bytes]:

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import slices, stored, texts
+from paddock.llm.common import pack_texts, printed, slices, stored
 
 WINDOW, SEED = 200, 24
 #: Windows are looked at in stretches of so many bytes; a stretch's positions fit the low bits of a number.
@@ -98,31 +97,14 @@ def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             rows: list[list[np.ndarray]] = [[] for _ in range(5)]
-            print_ = np.zeros(len(part), np.int64)
             for i, text in enumerate(part["text"].to_pylist()):
-                data = text.encode()
-                print_[i] = signed(data)
-                for found in segments(data, first, second):
+                for found in segments(text.encode(), first, second):
                     for column, values in zip(rows, (np.full(len(found[0]), i), *found)):
                         column.append(values)
             if rows[0]:
                 owner, *columns = (np.concatenate(c) for c in rows)
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), pa.array(print_[owner]), *map(pa.array, columns)], names=["doc_id", "print", "start", "shape", "anchor", "segment"])
-
-
-def signed(data: bytes) -> int:
-    """A 64-bit hash that tells apart rows of one doc_id."""
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
-
-
-def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for part in slices(batch):
-            data = [t.encode() for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(map(signed, data), pa.int64()), pa.array([press.compress(d) for d in data], pa.binary())], names=["doc_id", "print", "packed"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), part["print"].take(take), *map(pa.array, columns)], names=["doc_id", "print", "start", "shape", "anchor", "segment"])
 
 
 def wanted_segments(part: pa.RecordBatch, hot: bool) -> Iterator[tuple[int, dict, bytes]]:
@@ -357,7 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that repeat an id and a text are copies of each other like any two rows. An empty
     table gives an empty result.
     """
-    doc = texts(docs, id_col, text_col)
+    doc = printed(docs, id_col, text_col)
     kind = doc.schema["doc_id"].dataType.simpleString()
     row = f"doc_id {kind}, print long"
     long = doc.where(F.octet_length("text") >= WINDOW)
@@ -365,14 +347,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = long.mapInArrow(anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     seg = stored(long.mapInArrow(segment_rows, f"{row}, start long, shape long, anchor long, segment long").join(often, "anchor", "left_semi"))
     same = seg.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("of"))
-    kinds = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    use = stored(seg.join(same, ["anchor", "segment"]).join(kinds, "anchor"))
+    # Stored, so that the joins with it meet plain tables, of which Spark can split a part that one anchor fills.
+    kinds = stored(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    use = stored(seg.join(same, ["anchor", "segment"]).join(kinds, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))))
     whole = use.where("copies > 1").select("doc_id", "print", F.col("start").alias("begin"), (F.col("start") + F.floor(F.col("shape") / 256) - 1 + WINDOW).alias("end"))
     w = F.struct("anchor", "start", "shape", (F.col("copies") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
     wanted = use.where("kinds > 1 AND (copies = 1 OR doc_id <=> of)").groupBy("doc_id", "print").agg(F.collect_set(w).alias("wanted"))
 
     # Both joins deal the texts alike and keep all of them, so Spark shuffles them once and reads that shuffle twice.
-    packed = doc.mapInArrow(packed_texts, f"{row}, packed binary")
+    packed = pack_texts(doc)
     of_row = lambda df: df.withColumnsRenamed({"doc_id": "id", "print": "p"})
     with_texts = lambda df: packed.join(of_row(df), packed.doc_id.eqNullSafe(F.col("id")) & (packed.print == F.col("p")), "left")
     asked = with_texts(wanted).select("doc_id", "print", "packed", "wanted")
