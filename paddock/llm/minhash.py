@@ -7,12 +7,13 @@ Documents with equal sets are one class, and only classes go on. In a bucket, on
 is compared with all others, not all with all; what is found links classes. Only buckets
 whose members aren't all linked by then need more: members of small ones are compared pair
 by pair across components. Large ones that share members are one crowd; there, blocks of
-the members outside the crowd's main component meet blocks of all its members, and only
-links leave a block. Each comparison is exact, on full sets.
+the members outside the crowd's main component meet blocks of all its members whose sets are of
+about the same size, and only links leave a block. Each comparison is exact, on full sets.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,17 +21,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import durable, pack_texts, slices, texts, unpack
+from paddock.llm.common import durable, pack_texts, printed, slices, stored, unpack
 from paddock.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of 3e-6.
 BANDS, ROWS = 32, 5
-#: Most members of a small bucket; members of a crowd's blocks, about.
+#: Most members of a small bucket; shingles of a crowd's blocks, about; pairs with one text that a task compares.
 SMALL = 12
-OUTER_BLOCK, BLOCK_ROWS = 256, 1024
+OUTER_BLOCK, INNER_BLOCK = 100_000, 400_000
+FAN = 1_000
 KEPT_WORDS = 400_000
 BLOCK = 1 << 15
 PACKED_BYTES = 1_000_000
@@ -118,7 +120,7 @@ def sketcher(size: int, bands: int, rows: int):
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, keys.ravel())], names=["doc_id", "n", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["print"], pa.array(sizes), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, keys.ravel())], names=["doc_id", "print", "n", "digest", "bands"])
 
     return run
 
@@ -167,88 +169,125 @@ def block_links(size: int, percent: int):
         shingler = Shingler(size)
         outer, inner = (block.filter(pc.equal(block["outer"], x)) for x in (True, False))
         if not len(outer) or not len(inner):
-            return block.select(["rep", "rep"]).slice(0, 0).rename_columns(["a", "b"])
+            return block.select(["node", "node"]).slice(0, 0).rename_columns(["a", "b"])
         left, right = (shingler.sets(unpack(side["packed"].to_pylist())) for side in (outer, inner))
         common = common_counts(left, right)
         union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - common
         x, y = np.nonzero(100 * common >= percent * union)
-        a, b = outer["rep"].take(pa.array(x)), inner["rep"].take(pa.array(y))
+        a, b = outer["node"].take(pa.array(x)), inner["node"].take(pa.array(y))
         links = pa.table({"a": pc.min_element_wise(a, b), "b": pc.max_element_wise(a, b)})
         return links.filter(pc.not_equal(links["a"], links["b"]))
 
     return run
 
 
-def crowd_links(docs: DataFrame, live: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of large buckets; live: key, rep, component. Every pair of a bucket in two components is compared."""
-    kind = live.schema["rep"].dataType.simpleString()
-    low = live.groupBy("key").agg(F.min("rep").alias("low"))
-    crowd = components(live.join(low, "key").select(F.col("low").alias("a"), F.col("rep").alias("b"))).withColumnsRenamed({"node": "member", "component": "crowd"})
-    member = durable(live.select("rep", "component").distinct().join(crowd, F.col("rep") == F.col("member")).select("crowd", "rep", "component"))
-    part = member.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = part.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"))
-    sized = main.select(F.col("crowd").alias("c"), "main", F.ceil(F.col("n_all") / BLOCK_ROWS).alias("inners"), F.ceil((F.col("n_all") - F.col("n_main")) / OUTER_BLOCK).alias("outers"))
-    placed = member.join(sized, F.col("crowd") == F.col("c")).join(docs, F.col("rep") == F.col("doc_id"))
-    spot = F.abs(F.xxhash64("rep") % (1 << 30))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    inner = placed.select("crowd", each(F.col("outers")).alias("o"), (spot % F.col("inners")).alias("i"), F.lit(False).alias("outer"), "rep", "packed")
-    outer = placed.where("component <> main").select("crowd", (spot % F.col("outers")).alias("o"), each(F.col("inners")).alias("i"), F.lit(True).alias("outer"), "rep", "packed")
-    return inner.union(outer).groupBy("crowd", "o", "i").applyInArrow(block_links(size, percent), f"a {kind}, b {kind}").distinct()
+def similar_sizes(a: str, b: str, percent: int) -> Column:
+    """False for sets that are too unlike in size to be linked."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough; docs: doc_id, packed."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    second = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b")
-    both = second.join(docs.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(comparer(size, percent), f"a {kind}, b {kind}").distinct()
+def crowd_links(body: DataFrame, live: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of large buckets; live: key, node, n, component. Every pair of a bucket in two components that can be linked is compared.
 
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
-
-    Words are runs without ASCII white space, A to Z folded; a text of fewer than ``size``
-    words is one shingle, a text without words has none and no link. Documents are linked
-    if 100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable.
-    Rows that repeat a doc_id are one node. A null doc_id belongs to its equal texts' class
-    if that has another id, else it stands alone with a null component and is kept.
+    Blocks hold members of one size class; only equal and neighbouring classes can be linked, so only these meet.
     """
-    doc = texts(docs, id_col, text_col)
+    low = live.groupBy("key").agg(F.min("node").alias("low"))
+    crowd = components(live.join(low, "key").select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnsRenamed({"node": "member", "component": "crowd"})
+    step = math.log(max(100 / percent, 1.01) * 1.0001)
+    member = live.select("node", "n", "component").distinct().join(crowd, F.col("node") == F.col("member"))
+    member = durable(member.select("crowd", "node", "n", "component", F.floor(F.log("n") / step).alias("c")))
+    main = member.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("crowd").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    member = member.join(main, "crowd").withColumn("outer", F.col("component") != F.col("main"))
+    weight = F.sum(F.when(F.col("outer"), F.col("n")).otherwise(0))
+    sized = durable(member.groupBy("crowd", "c").agg(F.ceil(F.sum("n") / INNER_BLOCK).alias("inners"), F.ceil(weight / OUTER_BLOCK).alias("outers")))
+    own = member.join(sized, ["crowd", "c"]).withColumn("spot", F.abs(F.xxhash64("node") % (1 << 30)))
+    meets = own.withColumn("met", F.explode(F.array(*[F.col("c") + d for d in (-1, 0, 1)])))
+    other = sized.select("crowd", F.col("c").alias("met"), F.col("inners").alias("other_inners"), F.col("outers").alias("other_outers"))
+    meets = meets.join(other, ["crowd", "met"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    inner = meets.where("other_outers > 0").select("crowd", F.col("met").alias("co"), F.col("c").alias("ci"), each("other_outers").alias("o"), (F.col("spot") % F.col("inners")).alias("i"), F.lit(False).alias("outer"), "node")
+    outer = meets.where("outer").select("crowd", F.col("c").alias("co"), F.col("met").alias("ci"), (F.col("spot") % F.col("outers")).alias("o"), each("other_inners").alias("i"), F.lit(True).alias("outer"), "node")
+    block = inner.union(outer).join(body, "node")
+    return block.groupBy("crowd", "co", "ci", "o", "i").applyInArrow(block_links(size, percent), "a long, b long").distinct()
+
+
+def linked(body: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough; body: node, packed. A node in very many pairs as ``a`` is dealt to several tasks."""
+    fan = durable(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fan")))
+    spread = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fan").alias("part"))
+    second = spread.join(body.select(F.col("node").alias("b"), F.col("packed").alias("text_b")), "b")
+    first = body.select(F.col("node").alias("a"), F.col("packed").alias("text_a")).join(fan, "a")
+    first = first.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("part"))
+    both = second.join(first, ["a", "part"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(comparer(size, percent), "a long, b long").distinct()
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, print, n_shingles, component_id, kept, stays), one row per row of ``docs``; see ``near_duplicates``.
+
+    ``print`` is the hash of the text as it came; ``stays`` marks one of the rows of each
+    component, that of the least doc_id. Inside, a row is named by a number that the first
+    stored table gives it, and a node is the least such number of the rows with equal sets.
+    """
+    doc = printed(docs, id_col, text_col)
     kind = doc.schema["doc_id"].dataType.simpleString()
-    sketch = durable(doc.mapInArrow(sketcher(size, bands, rows), f"doc_id {kind}, n long, digest binary, bands array<long>"))
-    group = sketch.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows_in_class"))
-    shared = group.where("rows_in_class > 1").select(F.col("digest").alias("d"), F.col("n").alias("m"), "rep")
-    member = durable(sketch.drop("bands").join(shared, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    sketch = doc.mapInArrow(sketcher(size, bands, rows), f"doc_id {kind}, print long, n long, digest binary, bands array<long>")
+    sketch = stored(sketch.withColumn("rid", F.monotonically_increasing_id()))
+    shared = sketch.where("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("digest").alias("d"), "first")
+    at_class = lambda df: df.join(shared, F.col("digest") == F.col("d"), "left").withColumn("node", F.coalesce("first", "rid")).drop("digest", "d", "first")
+    member = stored(at_class(sketch.drop("bands")))
     # One row of each class; the others' bands aren't needed.
-    lead = sketch.where("n > 0 AND doc_id IS NOT NULL").join(member.where("rep <> doc_id").select(F.col("doc_id").alias("other")).distinct(), F.col("doc_id") == F.col("other"), "left_anti")
-    at = lead.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    bucket = at.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").select("key", "pivot")
-    held = durable(at.join(bucket, "key").select("key", "rep", "pivot"))
-    tried = durable(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    at = at_class(sketch.where("n > 0")).where("rid = node").select("node", "n", F.explode("bands").alias("key"))
+    bucket = at.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.min_by("n", "node").alias("pivot_n")).where("pivot <> top").drop("top")
+    held = stored(at.join(bucket, "key"))
+    tried = stored(held.where(F.col("node") != F.col("pivot")).where(similar_sizes("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     # Only texts of classes that share a bucket travel, packed, and only once as part of all texts.
-    some = held.select("rep").distinct()
-    body = durable(pack_texts(doc).join(some, F.col("doc_id") == F.col("rep"), "left_semi"))
-    edges = durable(linked(body, tried, size, percent))
+    some = member.join(held.select("node").distinct(), "node", "left_semi").where("rid = node").select(F.col("doc_id").alias("id"), F.col("print").alias("p"), "node")
+    whole = pack_texts(doc)
+    body = stored(whole.join(some, whole.doc_id.eqNullSafe(F.col("id")) & (whole.print == F.col("p"))).select("node", "packed"))
+    # An id with several texts ties their classes.
+    ids = member.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(F.col("doc_id").alias("id"), "a")
+    tied = ids.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("node").alias("b"))
+    edges = durable(linked(body, tried, size, percent).unionByName(tied))
     label = durable(components(edges))
-    live = with_component(held.select("key", "rep"), label)
+    live = with_component(held.select("key", "node", "n"), label)
     state = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
     state = state.where("lo <> hi").select("key", "members")
-    live = durable(live.join(state, "key").select("key", "rep", "component", "members"))
-    small = live.where(F.col("members") <= SMALL).select("key", "rep", "component")
-    other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    met = small.join(other, "key").where("rep < b AND component <> cb").select(F.col("rep").alias("a"), "b").distinct()
-    more = linked(body, met.join(tried, ["a", "b"], "left_anti"), size, percent)
-    crowded = crowd_links(body, live.where(F.col("members") > SMALL).select("key", "rep", "component"), size, percent)
+    live = stored(live.join(state, "key").select("key", "node", "n", "component", "members"))
+    small = live.where(F.col("members") <= SMALL).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    other = small.withColumnsRenamed({"a": "b", "na": "nb", "ca": "cb"})
+    met = small.join(other, "key").where("a < b AND ca <> cb").where(similar_sizes("na", "nb", percent)).select("a", "b").distinct()
+    met = stored(met.join(tried, ["a", "b"], "left_anti"))
+    more = linked(body, met, size, percent)
+    crowded = crowd_links(body, live.where(F.col("members") > SMALL).select("key", "node", "n", "component"), size, percent)
     # Only what the second look found is contracted again, with the first components as nodes.
     late = more.union(crowded)
     named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     late = durable(late.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
     joined = components(late).select(F.col("node").alias("was"), F.col("component").alias("now"))
     out = with_component(member, label)
-    out = out.join(joined, out.component == joined.was, "left").withColumn("component", F.coalesce("now", "component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    out = stored(out.join(joined, out.component == joined.was, "left").select("doc_id", "print", "rid", "n", F.coalesce("now", "component").alias("component")))
+    least = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least"))
+    out = out.join(least, "component")
+    component_id = F.col("least.doc_id")
+    return out.select("doc_id", "print", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), (F.col("rid") == F.col("least.rid")).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+
+    Words are runs without ASCII white space, A to Z folded; a text of fewer than ``size``
+    words is one shingle, a text without words has none and no link. Documents are linked
+    if 100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable.
+    Rows that repeat a doc_id are one node, whatever their texts, and reach what any of them
+    reaches. Rows without a doc_id are linked like others; component_id is null, and they are
+    kept, only where no row reachable has an id. An empty table gives an empty result.
+    """
+    return near_classes(docs, id_col, text_col, size, percent, bands, rows).drop("print", "stays")
 
 
 def with_component(df: DataFrame, label: DataFrame) -> DataFrame:
-    """Adds component: that of the row's rep, or rep itself where nothing is linked to it."""
-    return df.join(label, df.rep == label.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    """Adds component: that of the row's node, or the node itself where nothing is linked to it."""
+    known = label.select(F.col("node").alias("of"), "component")
+    return df.join(known, df.node == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
