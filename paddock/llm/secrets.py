@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import ascii_lower, durable, texts, words
+from paddock.llm.common import ascii_lower, durable, stored, texts, words
 
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
 #: What belongs to a candidate's own part of a word: no quotes, brackets and separators of fields.
@@ -22,9 +22,10 @@ PART = "[^\"'`,;|?&=<>(){}\\[\\]]*"
 #: Words that announce a secret, and words that announce another kind of long string.
 ANNOUNCES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
 DENIES = "sha|md5|commit|checksum|hash|digest|uuid|guid|example|sample|dummy|placeholder|version"
-#: Most labelled findings of each label that training looks at, and most words of the dictionary.
-SAMPLE_PER_LABEL = 1_500
-DICTIONARY_WORDS = 200
+#: Places of findings that labelled examples are planted at, and of these, one in HELD_OUT is kept from training.
+SAMPLE_PLACES, HELD_OUT = 400, 4
+#: Dictionary words make up at least one in so many of the plain words beside candidates, so there are never more of them than that.
+SHARE_OF_WORDS = 1_000
 TREES, DEPTH, SEED = 20, 6, 7
 FEATURES = ("length", "changes", "covered", "digits", "upper", "letters_only", "digits_only", "hex_only", "distinct", "path", "announced", "denied", "assigned")
 NEAR = ("before2", "before", "after")
@@ -60,11 +61,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return one.select("doc_id", "at", F.explode_outer(F.transform("runs", judged)).alias("f")).select("doc_id", "at", "f.*")
 
 
-def dictionary(found: DataFrame, limit: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent plain words of 3 to 12 letters beside candidates; a bounded list."""
+def dictionary(found: DataFrame, share_of: int = SHARE_OF_WORDS) -> list[str]:
+    """The plain words of 3 to 12 letters that are at least one in ``share_of`` of those beside candidates; so at most ``share_of`` words."""
     word = found.select(F.explode(F.array(*[ascii_lower(F.col(c)) for c in NEAR])).alias("word")).where("word rlike '^[a-z]{3,12}$'")
-    top = word.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(limit).collect()
-    return sorted((r.word for r in top), key=lambda w: (-len(w), w))
+    count = stored(word.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = count.agg(F.sum("n")).first()[0] or 0
+    return sorted((r.word for r in count.where(F.col("n") * share_of >= total).collect()), key=lambda w: (-len(w), w))
 
 
 def share(rest: Column, c: Column) -> Column:
@@ -94,52 +96,100 @@ def featured(found: DataFrame, known: list[str]) -> DataFrame:
     })
 
 
-def label_findings(found: DataFrame) -> DataFrame:
-    """Findings with label 1 or 0 where form and neighbours leave no doubt; others aren't labelled.
+def planted_texts(found: DataFrame, places: int = SAMPLE_PLACES) -> DataFrame:
+    """(place, held_out, text, value, label): labelled examples, each a value of a known form among the words beside a finding.
 
-    A value assigned to an announcing word that mixes digits with letters without being
-    covered by words is a secret; plain words, numbers and paths aren't, nor is what a
-    denying word announces. Each secret also counts without its neighbours, so that the
-    forest learns the value's own form.
+    The places are chosen by hash of these words. Label 1: keys and tokens of usual forms,
+    assigned, announced or bare. Label 0: what looks like them, such as digests, identifiers,
+    paths, numbers, long words and placeholders. Values are made of the place's own hash.
     """
-    mixed = (F.col("digits").between(0.1, 0.95)) & (F.col("covered") < 0.5) & (F.col("distinct") > 0.2)
-    yes = (F.col("announced") == 1) & (F.col("assigned") == 1) & (F.col("denied") == 0) & mixed & (F.col("path") == 0)
-    no = (F.col("letters_only") == 1) | (F.col("digits_only") == 1) | (F.col("path") == 1) | (F.col("denied") == 1) | (F.col("distinct") <= 0.15)
-    labelled = found.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label IS NOT NULL")
-    bare = labelled.where("label = 1").withColumns({"announced": F.lit(0.0), "assigned": F.lit(0.0)})
-    return labelled.select(*FEATURES, "label").union(bare.select(*FEATURES, "label"))
-
-
-def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> RandomForestClassificationModel | None:
-    """A forest on ``per_label`` findings of each label at most, chosen by hash of their features; None if one label is missing."""
-    pick = F.xxhash64(*FEATURES)
-    sides = [labelled.where(F.col("label") == v).dropDuplicates([*FEATURES]).orderBy(pick, *FEATURES).limit(per_label) for v in (0.0, 1.0)]
-    rows = durable(sides[0].union(sides[1]).orderBy("label", *FEATURES).coalesce(1))
+    words = F.concat_ws(" ", *NEAR)
+    place = found.select(*NEAR, F.xxhash64(words).alias("place")).distinct().orderBy("place").limit(places)
+    place = place.withColumn("held_out", F.pmod("place", F.lit(HELD_OUT)) == 0)
+
+    def hexes(form: str, n: int) -> Column:
+        return F.left(F.sha2(F.concat(F.lit(form), F.col("place").cast("string")), 512), F.lit(n))
+
+    def mixed(form: str, n: int, drop: str = "") -> Column:
+        """Letters of both cases and digits, those of ``drop`` left out."""
+        both = F.concat(*[F.base64(F.unhex(F.sha2(F.concat(F.lit(f"{form}{i}"), F.col("place").cast("string")), 512))) for i in range(2)])
+        return F.left(F.translate(both, "+/=\r\n" + drop, ""), F.lit(n))
+
+    plain = lambda i: F.lower(F.regexp_replace(F.get(F.array(*NEAR), F.lit(i)), "[^A-Za-z]", ""))
+    say = lambda before, value, after="": (F.concat(F.lit(before), value, F.lit(after)), value)
+    upper = F.upper(mixed("u", 40, "01"))
+    dashed = F.concat_ws("-", *[F.substring(hexes("id", 32), at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    digits = F.left(F.regexp_replace(F.conv(hexes("d", 15), 16, 10), "[^0-9]", ""), F.lit(16))
+    path = F.concat(F.lit("/usr/local/share/"), plain(0), F.lit("/"), plain(1), F.lit("/files"))
+    glued = F.concat(plain(0), plain(1), plain(2), plain(1), F.lit("lichkeiten"))
+    secret = [
+        say('token = "', hexes("a", 40), '"'), say("api_key: ", hexes("b", 32)), say("password=", mixed("c", 20)), say('"secret": "', mixed("e", 40), '",'), say("Authorization: Bearer ", mixed("f", 48)),
+        say("MY_SERVICE_SECRET_KEY=", hexes("g", 40)), say("AKIA", F.left(upper, F.lit(16))), say("aws_secret_access_key = ", mixed("h", 40)), say("ghp_", mixed("i", 36)), say("sk_live_", mixed("j", 24)),
+        say("AIza", mixed("k", 35)), say("xoxb-", F.concat(digits, F.lit("-"), mixed("l", 24))), say("", hexes("m", 40)), say("", mixed("n", 40)), say("key=", hexes("o", 64)), say("https://a.example.org/some/longer/path?token=", hexes("p", 40)),
+        say("access token ", mixed("q", 32)), say("passwd:", mixed("r", 18)), say('{"id":"7","api_key":"', hexes("s", 40), '"}'), say("password：", hexes("t", 40), "。"),
+    ]
+    harmless = [
+        say("commit ", hexes("A", 40)), say("sha256:", hexes("B", 64)), say("md5 = ", hexes("C", 32)), say("checksum ", hexes("D", 40)), say("uuid ", dashed), say("id = ", dashed), say("", path), say("https://www.example.org", path),
+        say("", digits), say("phone ", digits), say("", glued), say("", F.concat(glued, plain(0))), say("", F.concat_ws("_", F.lit("get"), plain(0), plain(1), plain(2), F.lit("value"))), say("", F.concat(F.lit("Get"), F.initcap(plain(0)), F.initcap(plain(1)), F.lit("Settings"))),
+        say('token = "', F.lit("xxxxxxxxxxxxxxxxxxxxxxxx"), '"'), say("api_key: ", F.lit("your_api_key_goes_here")), say("", F.lit("----------------------")), say("version ", F.concat(F.lit("20240101-"), digits)), say("the commit hash is ", hexes("E", 40)),
+        say("data/", F.concat(plain(0), F.lit("/"), plain(1), F.lit("/archive.tar.gz"))), say("", F.concat_ws("-", plain(0), plain(1), plain(2), F.lit("und"), plain(0))), say("", F.lit("0000000000000000000")),
+    ]
+    forms = [F.struct(body.alias("body"), value.alias("value"), F.lit(label).alias("label")) for label, group in ((1.0, secret), (0.0, harmless)) for body, value in group]
+    each = place.select("place", "held_out", *NEAR, F.posexplode(F.array(*forms)).alias("form", "f"))
+    return each.select("place", "held_out", F.concat_ws(" ", "before2", "before", "f.body", "after", "before2").alias("text"), "f.value", "f.label")
+
+
+def planted_findings(found: DataFrame, known: list[str], places: int = SAMPLE_PLACES) -> DataFrame:
+    """The columns of FEATURES, label and held_out of each candidate of the planted texts; only one that holds a secret's value has label 1."""
+    rows = planted_texts(found, places).withColumn("n", F.monotonically_increasing_id()).withColumn("id", F.struct("place", "n", "held_out", "value", "label"))
+    planted = stored(rows.select(F.to_json("id").alias("doc_id"), "text"))
+    own = F.from_json("doc_id", "place long, n long, held_out boolean, value string, label double")
+    judged = featured(candidates(planted), known).withColumn("own", own)
+    holds = F.contains("candidate", "own.value") | F.contains("own.value", "candidate")
+    # What stands beside a planted value, as the finding that the place was, has no known label.
+    return judged.where(holds).select(*FEATURES, F.col("own.label").alias("label"), F.col("own.held_out").alias("held_out"))
+
+
+def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
+    """A forest on labelled findings, in an order that doesn't depend on how they were dealt; None if one label is missing."""
+    rows = durable(labelled.select(*FEATURES, "label").orderBy("label", *FEATURES).coalesce(1))
     if rows.select("label").distinct().count() < 2:
         return None
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=1.0).fit(ready)
 
 
+def scored(rows: DataFrame, forest: RandomForestClassificationModel) -> DataFrame:
+    """``rows`` with the forest's share of votes for a secret as ``score``."""
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    return forest.transform(ready).withColumn("score", F.round(vector_to_array("probability")[1], 6))
+
+
+def held_out_report(found: DataFrame) -> DataFrame:
+    """(tp, fp, fn, tn, precision, recall) over planted findings that training doesn't see."""
+    rows = durable(planted_findings(found, dictionary(found)))
+    judged = scored(rows.where("held_out"), train(rows.where("NOT held_out"))).select("label", (F.col("score") >= 0.5).alias("yes"))
+    cell = lambda label, yes: F.sum(F.when((F.col("label") == label) & (F.col("yes") == yes), 1).otherwise(0))
+    counted = judged.agg(cell(1, True).alias("tp"), cell(0, True).alias("fp"), cell(1, False).alias("fn"), cell(0, False).alias("tn"))
+    return counted.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / (F.col("tp") + F.col("fn"))})
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled=None) -> DataFrame:
     """(doc_id, at, candidate, score, is_secret), one row per candidate of every row of ``docs``.
 
-    ``labelled`` may give labelled findings with the columns of FEATURES and label; else
-    they come from ``label_findings``. ``at`` is the word's place in the text, the same for
-    all candidates of a word. Null and empty texts have no candidate; repeated rows give theirs each. Without findings of
-    both labels there is no forest and the labels' own rule decides. An empty table gives
-    an empty result.
+    ``labelled`` may give labelled findings with the columns of FEATURES and label, of both
+    labels; else they are planted (``planted_texts``). ``at`` is the word's place in the text,
+    the same for all candidates of a word. Null and empty texts have no candidate; repeated
+    rows give theirs each, and a table without candidates, or an empty one, gives an empty result.
     """
-    found = candidates(docs, id_col, text_col)
-    rows = durable(featured(found, dictionary(found)))
-    forest = train(label_findings(rows) if labelled is None else labelled)
-    if forest is None:
-        sure = (F.col("announced") == 1) & (F.col("assigned") == 1) & (F.col("denied") == 0) & F.col("digits").between(0.1, 0.95)
-        scored = rows.withColumn("score", F.when(sure, 1.0).otherwise(0.0))
-    else:
-        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-        scored = forest.transform(ready).withColumn("score", F.round(vector_to_array("probability")[1], 6))
-    return scored.select("doc_id", F.col("at").cast("long").alias("at"), "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    found = stored(candidates(docs, id_col, text_col))
+    known = dictionary(found)
+    rows = featured(found, known)
+    if labelled is None:
+        labelled = durable(planted_findings(found, known)).where("NOT held_out")
+    forest = train(labelled)
+    judged = rows.withColumn("score", F.lit(0.0)) if forest is None else scored(rows, forest)
+    return judged.select("doc_id", F.col("at").cast("long").alias("at"), "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
@@ -148,7 +198,8 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     A null doc_id counts as a value: its rows share their findings.
     """
     own = findings.where("is_secret").select("doc_id", "candidate").distinct()
-    per_doc = own.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("__secrets"))
+    # Stored, so that Spark knows how small the table is and needn't deal out all texts.
+    per_doc = stored(own.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("__secrets")))
     joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("__of")), "left")
     clean = F.aggregate("__secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mark)))
     return joined.select(*[F.coalesce(clean, F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
