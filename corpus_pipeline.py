@@ -10,36 +10,43 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.llm import classifier, exact_dedup, minhash, packing, secrets
-from paddock.llm.common import durable, read_table, shared_folder
+from paddock.llm.common import ascii_lower, read_table, shared_folder, stored, text_print
 from paddock.llm.queries import tokenizer_path
 
 
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``kept``; a null id counts as a value."""
-    ids = kept.select(F.col("doc_id").alias("__kept"))
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__kept"]), "left_semi")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It learns from the labels of rows that aren't held out."""
     return classifier.keep_good(docs, classifier.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` but those of ``gone`` (doc_id, key). Only the rows that go are dealt out, which Spark broadcasts where their stored table is small."""
+    out = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    keyed = docs.withColumn("__own", key)
+    return keyed.join(out, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").drop("__own")
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id. Rows that repeat an id and a text are one document and stay once."""
-    judged = durable(exact_dedup.exact_duplicates(docs))
-    left = only(docs, judged.where("kept"))
-    twice = judged.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return left if twice.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """Of equal texts the row with the largest doc_id. Rows that repeat an id and a text are one document and stay once; a row goes by its id and its text."""
+    judged = stored(exact_dedup.exact_duplicates(docs).select("doc_id", "kept", F.col("text_sha256").alias("key")))
+    digest = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    left = without(docs, judged.where("NOT kept").distinct(), digest)
+    twice = stored(judged.where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if twice.isEmpty():
+        return left
+    again = docs.withColumn("__own", digest).join(twice.withColumnsRenamed({"doc_id": "__id", "key": "__key"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
+    return without(left, twice, digest).unionByName(again.dropDuplicates(["doc_id", "__own"]).drop("__own"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each component of near duplicates (five words, 0.8)."""
-    return only(docs, minhash.near_duplicates(docs).where("kept"))
+    """One row, of the least doc_id, of each component of near duplicates (five words, 0.8); a row goes by its id and its text, so rows that repeat both stay together."""
+    judged = minhash.near_classes(docs)
+    gone = stored(judged.groupBy("doc_id", F.col("print").alias("key")).agg(F.max("stays").alias("stays")).where("NOT stays"))
+    return without(docs, gone, text_print(F.col("text")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
