@@ -141,3 +141,7 @@ def odds_block(block: Column, width: int, span: bool) -> Column:
 
 def is_race_id(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9]{12}$") & F.substring(text, 5, 2).try_cast("int").between(1, 10), F.lit(False))
+
+
+# How links name races, horses and listed days.
+LINK_IDS = {"race": 'href="/race/([0-9]{12})', "horse": 'href="[^"]*/horse/([0-9A-Za-z]+)', "date": 'href="[^"]*[?&]kaisai_date=([0-9]{8})(?:[^0-9"]|")'}

@@ -16,7 +16,7 @@ RAW_RELATIVE = ["gate", "horse_number", "weight", "age"]
 
 def base_rows(runner: DataFrame, race: DataFrame, place_odds: DataFrame, win_odds: DataFrame, horse: DataFrame) -> DataFrame:
     """Finished runners with race, odds and pedigree; the label is a finish among the first three."""
-    ped = horse.select("horse_id", "sire_id", "dam_id", "broodmare_sire_id", (F.col("pedigree_fetch_status") == "fetched").cast("int").alias("__p"))
+    ped = horse.select("horse_id", "horse_name", "sire_id", "dam_id", "broodmare_sire_id", (F.col("pedigree_fetch_status") == "fetched").cast("int").alias("__p"))
     place = place_odds.select(*KEYS, F.col("odds_min").alias("place_odds_min"), F.col("odds_max").alias("place_odds_max"))
     rows = runner.where("status_id = 0 AND finish IS NOT NULL").join(race, "race_id")
     rows = rows.join(place, KEYS, "left").join(win_odds.withColumnRenamed("odds", "win_odds"), KEYS, "left").join(ped, "horse_id", "left")
@@ -34,11 +34,12 @@ def win_odds_as_place(df: DataFrame) -> DataFrame:
 
 
 def training(base: DataFrame, with_history: bool = True) -> DataFrame:
-    """Keys, label, race and runner columns, and, if wanted, history with its race-relative twins."""
+    """Keys, label, race and runner columns, and, if wanted, history with its race-relative twins; of live rows alone if there are some."""
     own = ["race_id", "date", "horse_number", "target_top3", "track_id", "surface_id", "distance", "track_condition_id", "gate", "age", "weight", "horse_id", "jockey_id", "trainer_id", "sire_id", "dam_id", "broodmare_sire_id", "pedigree_available"]
     if not with_history:
         return base.select(*own)
     df = history.all_history(base)
+    df = df.where(history.LIVE) if history.LIVE in df.columns else df
     made = [c for c in df.columns if "_past_" in c or "_recent" in c or c.startswith(("horse_distance_", "horse_weight_", "horse_days_"))]
     numeric = [c for c in made if not c.endswith(("_starts", "_top3"))] + RAW_RELATIVE
     return relative(df.select(*own, *[c for c in made if c not in own]), specs(numeric))
@@ -56,7 +57,17 @@ def drop_patterns(df: DataFrame, patterns: list[str], protected: list[str] = KEY
     return df.drop(*[c for c in df.columns if c not in protected and any(p in c for p in patterns)])
 
 
-def live(past: DataFrame, future: DataFrame, build) -> DataFrame:
-    """Features of ``future`` rows from the history of ``past``; ``build`` adds them. Future rows count for no one."""
-    both = past.withColumn("__live", F.lit(False)).unionByName(future.withColumns({"__live": F.lit(True)}), allowMissingColumns=True)
-    return build(both).where("__live").drop("__live")
+#: What is known of a runner only after its race.
+AFTER = ("finish", "time_sec", "finish_diff", "finish_3f", "corner_4", "popularity", "horse_weight", "horse_weight_diff", "win_odds", "place_odds_min", "place_odds_max")
+
+
+def live_features(past: DataFrame, future: DataFrame) -> DataFrame:
+    """The training dataset's columns for ``future`` rows (base rows without results) from the history of ``past``.
+
+    Future rows count for no one, so all of them stand on the first future day, as of which
+    their history is taken; results that they may carry are blanked first.
+    """
+    blank = future.withColumns({c: F.lit(None).cast(future.schema[c].dataType) for c in AFTER if c in future.columns} | {"target_top3": F.lit(0)})
+    first = future.agg(F.min("date")).first()[0]
+    both = past.withColumns({history.LIVE: F.lit(False), history.AS_OF: F.col("date")}).unionByName(blank.withColumns({history.LIVE: F.lit(True), history.AS_OF: F.lit(first).cast("date")}))
+    return training(both)

@@ -1,8 +1,9 @@
 """Point-in-time history: a row sees only rows of strictly earlier dates, never its own day's.
 
 Cumulative figures are built from one row per key and day, summed before the shuffle, so a
-key with very many rows costs one small row a day; rows join their key's day. Keys that are
-null are one pooled key unless ``missing`` says that they have no history.
+key with very many rows costs a few small rows a day; rows join their key's day, once for all
+figures of one id. Keys that are null are one pooled key unless ``missing`` says that they
+have no history.
 """
 
 from __future__ import annotations
@@ -10,85 +11,142 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns of rows without results: they count for no one, and their history is taken as of this day instead of their own.
+LIVE, AS_OF = "__live", "__as_of"
 #: Strength of the prior in smoothed rates, in starts.
 PRIOR_STARTS = 20
-ORDER = ("date", "race_id", "horse_number")
 
 
 def distance_band(distance: Column) -> Column:
     return F.when(distance < 1400, "under1400").when(distance < 1800, "1400_1799").when(distance < 2200, "1800_2199").otherwise("2200plus")
 
 
+def day_of(df: DataFrame) -> str:
+    return AS_OF if AS_OF in df.columns else "date"
+
+
+def counted(df: DataFrame, value: Column) -> Column:
+    """``value``, null for live rows."""
+    return F.when(~F.col(LIVE), value) if LIVE in df.columns else value
+
+
 def missing_key(keys: list[str]) -> Column:
     """True where an id counts as unknown: null or empty."""
     return F.coalesce(F.col(keys[0]).cast("string"), F.lit("")) == ""
 
 
-def cumulative_before(df: DataFrame, prefix: str, keys: list[str], means: dict[str, str] | None = None, spans: dict[str, str] | None = None, missing: Column | None = None, source: DataFrame | None = None) -> DataFrame:
-    """Adds {prefix}_past_starts, _past_top3, _past_top3_rate and, for each of ``means`` (name to
-    column), the mean of its earlier values, nulls skipped; ``spans`` add least and greatest.
+#: (prefix, further keys, means: name to column, spans: name to column)
+Spec = tuple[str, list[str], dict[str, str], dict[str, str]]
+
+
+def spec(prefix: str, *keys: str, means: dict[str, str] | None = None, spans: dict[str, str] | None = None) -> Spec:
+    return prefix, list(keys), means or {}, spans or {}
 
-    ``source`` holds the rows that count, ``df`` itself by default. A chain of calls passes
-    the rows it began with, so that each step reads those and not all the steps before.
+
+def history_before(df: DataFrame, lead: str, specs: list[Spec], recents: list[tuple[int, dict[str, str]]] = [], last: bool = False, missing: Column | None = None, source: DataFrame | None = None, name: str | None = None) -> DataFrame:  # noqa: B006
+    """All history of one leading id, in a single join of the rows.
+
+    Each of ``specs`` adds {prefix}_past_starts, _past_top3, _past_top3_rate over rows of the
+    same id and further keys, the means of its columns, nulls skipped, and their least and
+    greatest. ``recents`` add {name}_recent{n}_avg_{column} over the last n rows before the
+    day, ``last`` the last day's distance from today and its race's distance.
+
+    Rows that agree in all keys of ``specs`` and the day are summed first; what precedes a day
+    is a running sum over these few, dealt by the leading id once for all specs. ``source``
+    holds the rows that count, ``df`` itself by default. A chain of calls passes the rows it
+    began with, so that each step reads those and not all the steps before.
     """
-    means, spans = means or {}, spans or {}
-    sums = [F.count(F.lit(1)).alias("__n"), F.sum("target_top3").alias("__hit")]
-    for name, column in means.items():
-        sums += [F.sum(F.col(column).cast("double")).alias(f"__s_{name}"), F.count(column).alias(f"__c_{name}")]
-    for name, column in spans.items():
-        sums += [F.min(column).alias(f"__lo_{name}"), F.max(column).alias(f"__hi_{name}")]
-    days = (df if source is None else source).groupBy(*keys, "date").agg(*sums)
-    past = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.sum(c).over(past)
-    starts, hits = F.coalesce(total("__n"), F.lit(0)), F.coalesce(total("__hit"), F.lit(0))
-    out = {f"{prefix}_past_starts": starts.cast("long"), f"{prefix}_past_top3": hits.cast("long"), f"{prefix}_past_top3_rate": F.try_divide(hits, starts)}
-    out |= {f"{prefix}_past_avg_{name}": F.try_divide(total(f"__s_{name}"), total(f"__c_{name}")) for name in means}
-    for name in spans:
-        out |= {f"{prefix}_past_min_{name}": F.min(f"__lo_{name}").over(past), f"{prefix}_past_max_{name}": F.max(f"__hi_{name}").over(past)}
-    days = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("date").alias("__date"), *[c.alias(n) for n, c in out.items()])
-    same = F.col("date") == F.col("__date")
-    for i, k in enumerate(keys):
+    source, name = df if source is None else source, name or lead.removesuffix("_id")
+    grain = [lead, *dict.fromkeys(k for _, keys, _, _ in specs for k in keys)]
+    mean_of = dict.fromkeys(c for _, _, means, _ in specs for c in means.values())
+    span_of = dict.fromkeys(c for _, _, _, spans in specs for c in spans.values())
+    on, own = day_of(source), lambda c: counted(source, F.col(c))
+    sums = [F.count(counted(source, F.lit(1))).alias("__n"), F.sum(own("target_top3")).alias("__hit")]
+    for i, c in enumerate(mean_of):
+        mean_of[c] = i
+        sums += [F.sum(own(c).cast("double")).alias(f"__s{i}"), F.count(own(c)).alias(f"__c{i}")]
+    for i, c in enumerate(span_of):
+        span_of[c] = i
+        sums += [F.min(own(c)).alias(f"__lo{i}"), F.max(own(c)).alias(f"__hi{i}")]
+    days = source.groupBy(*grain, on).agg(*sums).repartition(F.col(lead)).withColumn("__day", F.unix_date(on))
+    out: dict[str, Column] = {}
+    for prefix, keys, means, spans in specs:
+        past = Window.partitionBy(lead, *keys).orderBy("__day").rangeBetween(Window.unboundedPreceding, -1)
+        starts, hits = (F.coalesce(F.sum(c).over(past), F.lit(0)) for c in ("__n", "__hit"))
+        out |= {f"{prefix}_past_starts": starts.cast("long"), f"{prefix}_past_top3": hits.cast("long"), f"{prefix}_past_top3_rate": F.try_divide(hits, starts)}
+        out |= {f"{prefix}_past_avg_{k}": F.try_divide(F.sum(f"__s{mean_of[c]}").over(past), F.sum(f"__c{mean_of[c]}").over(past)) for k, c in means.items()}
+        for k, c in spans.items():
+            out |= {f"{prefix}_past_min_{k}": F.min(f"__lo{span_of[c]}").over(past), f"{prefix}_past_max_{k}": F.max(f"__hi{span_of[c]}").over(past)}
+    days = days.select(*grain, on, *[c.alias(n) for n, c in out.items()])
+    if recents or last:
+        asked = dict.fromkeys([c for _, means in recents for c in means.values()] + ["date", "distance"] * last)
+        tails = last_rows(source, lead, max([n for n, _ in recents] + [1]), list(asked))
+        days = days.join(tails, days[lead].eqNullSafe(F.col("__id")) & (days[on] == F.col("__of"))).drop("__id", "__of")
+        for n, means in recents:
+            some = F.slice("__tail", F.greatest(F.lit(1), F.size("__tail") - n + 1), F.lit(n))
+            days = days.withColumns({f"{name}_recent{n}_avg_{k}": mean(some[c].cast("array<double>")) for k, c in means.items()})
+        if last:
+            days = days.withColumns({"__d": F.try_element_at("__tail", F.lit(-1))["date"], f"{name}_prev_distance": F.try_element_at("__tail", F.lit(-1))["distance"]})
+        days = days.drop("__tail")
+    days = days.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate([*grain, on])})
+    same = F.col(on) == F.col(f"__k{len(grain)}")
+    for i, k in enumerate(grain):
         same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = df.join(days, same, "left").drop("__date", *[f"__k{i}" for i in range(len(keys))])
+    joined = df.join(days, same, "left").drop(*[f"__k{i}" for i in range(len(grain) + 1)])
+    if last:
+        joined = joined.withColumns({f"{name}_days_since_last": F.datediff("date", "__d"), f"{name}_distance_diff_prev": F.col("distance") - F.col(f"{name}_prev_distance")}).drop("__d")
     if missing is not None:
         joined = joined.withColumns({n: F.when(missing, F.lit(0).cast("long") if n.endswith(("_starts", "_top3")) else None).otherwise(F.col(n)) for n in out})
     return joined
 
 
-def global_prior(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Adds prior_starts and prior_top3, of all rows of earlier dates; dates are few, so the daily table is small."""
-    day = (df if source is None else source).groupBy("date").agg(F.count(F.lit(1)).alias("__n"), F.sum("target_top3").alias("__hit"))
-    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    before = day.select("date", F.coalesce(F.sum("__n").over(past), F.lit(0)).cast("long").alias("prior_starts"), F.coalesce(F.sum("__hit").over(past), F.lit(0)).cast("long").alias("prior_top3"))
-    return df.join(before, "date")
+def last_rows(source: DataFrame, lead: str, n: int, columns: list[str]) -> DataFrame:
+    """(__id, __of, __tail): for each day of an id, its last n rows of earlier days, in order.
+
+    A day gives its last n rows at most, which are picked before the shuffle, and the n days
+    before hold all that is asked for, so no window has more than n times n rows in a frame.
+    """
+    on = day_of(source)
+    back = Window.partitionBy(lead, on).orderBy(F.desc("race_id"), F.desc("horse_number"))
+    row = F.struct("race_id", "horse_number", *columns)
+    kept = source.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= n)
+    day = kept.groupBy(F.col(lead).alias("__id"), F.col(on).alias("__of")).agg(F.sort_array(F.collect_list(counted(source, row))).alias("__rows"))
+    before = Window.partitionBy("__id").orderBy("__of").rowsBetween(-n, -1)
+    tail = F.flatten(F.collect_list("__rows").over(before))
+    return day.select("__id", "__of", tail.alias("__all")).select("__id", "__of", F.slice("__all", F.greatest(F.lit(1), F.size("__all") - n + 1), F.lit(n)).alias("__tail"))
 
 
-def smooth(prefix: str) -> Column:
-    """(top3 + 20 prior rate) / (starts + 20); the raw rate where there is no prior."""
-    starts, hits = F.col(f"{prefix}_past_starts"), F.col(f"{prefix}_past_top3")
-    prior = F.try_divide(F.col("prior_top3"), F.col("prior_starts"))
-    return F.when(prior.isNull(), F.try_divide(hits, starts)).otherwise((hits + PRIOR_STARTS * prior) / (starts + PRIOR_STARTS))
+def mean(values: Column) -> Column:
+    """The mean of an array's values that aren't null; null without any."""
+    some = F.filter(values, lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(some, F.lit(0.0), lambda a, v: a + v), F.size(some))
+
+
+def cumulative_before(df: DataFrame, prefix: str, keys: list[str], means: dict[str, str] | None = None, spans: dict[str, str] | None = None, missing: Column | None = None, source: DataFrame | None = None) -> DataFrame:
+    """``history_before`` of one prefix."""
+    return history_before(df, keys[0], [spec(prefix, *keys[1:], means=means, spans=spans)], missing=missing, source=source)
 
 
 def recent_before(df: DataFrame, prefix: str, key: str, n: int, means: dict[str, str]) -> DataFrame:
-    """Adds {prefix}_recent{n}_avg_{name}: means over the last n rows before the row's day.
+    """Adds {prefix}_recent{n}_avg_{column} alone."""
+    return history_before(df, key, [], [(n, means)], name=prefix)
 
-    The frame of the n rows before the first row of a key's day is that whole day's.
-    """
-    rows = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(-n, -1)
-    day = Window.partitionBy(key, "date").orderBy("race_id", "horse_number").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({f"__{name}": F.avg(F.col(c).cast("double")).over(rows) for name, c in means.items()})
-    df = df.withColumns({f"{prefix}_recent{n}_avg_{name}": F.first(f"__{name}").over(day) for name in means})
-    return df.drop(*[f"__{name}" for name in means])
 
+def global_prior(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Adds prior_starts and prior_top3, of all rows of earlier dates; dates are few, so the daily table is small."""
+    source = df if source is None else source
+    on = day_of(source)
+    day = source.groupBy(on).agg(F.count(counted(source, F.lit(1))).alias("__n"), F.sum(counted(source, F.col("target_top3"))).alias("__hit"))
+    past = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, -1)
+    before = day.select(on, F.coalesce(F.sum("__n").over(past), F.lit(0)).cast("long").alias("prior_starts"), F.coalesce(F.sum("__hit").over(past), F.lit(0)).cast("long").alias("prior_top3"))
+    return df.join(before, on)
 
-def last_before(df: DataFrame, prefix: str, key: str) -> DataFrame:
-    """Adds days since the last earlier day, the distance then, and the change of distance."""
-    rows = Window.partitionBy(key).orderBy(*ORDER)
-    day = Window.partitionBy(key, "date").orderBy("race_id", "horse_number").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({"__d": F.lag("date").over(rows), "__m": F.lag("distance").over(rows)})
-    df = df.withColumns({"__d": F.first("__d").over(day), f"{prefix}_prev_distance": F.first("__m").over(day)})
-    return df.withColumns({f"{prefix}_days_since_last": F.datediff("date", "__d"), f"{prefix}_distance_diff_prev": F.col("distance") - F.col(f"{prefix}_prev_distance")}).drop("__d", "__m")
+
+def smooth(prefix: str) -> Column:
+    """(top3 + 20 prior rate) / (starts + 20); the raw rate where there is no prior. One division of whole numbers, so that equal inputs give equal doubles."""
+    starts, hits = F.col(f"{prefix}_past_starts"), F.col(f"{prefix}_past_top3")
+    with_prior = F.try_divide(hits * F.col("prior_starts") + PRIOR_STARTS * F.col("prior_top3"), (starts + PRIOR_STARTS) * F.col("prior_starts"))
+    return F.when(F.col("prior_starts") == 0, F.try_divide(hits, starts)).otherwise(with_prior)
 
 
 def share_and_lift(df: DataFrame, owner: str, condition: str) -> DataFrame:
@@ -120,21 +178,18 @@ def all_history(base: DataFrame) -> DataFrame:
     df = base.withColumns({"time_per_200": F.try_divide(F.col("time_sec"), F.col("distance")) * 200, "distance_band": distance_band(F.col("distance"))})
     own = df
     df = global_prior(df)
-    df = fit(cumulative_before(df, "horse", ["horse_id"], {**MEASURES, "distance": "distance", "weight": "weight"}, {"distance": "distance"}, source=own))
-    for n in (3, 5):
-        df = recent_before(df, "horse", "horse_id", n, {"top3": "target_top3", **MEASURES})
-    df = last_before(df, "horse", "horse_id")
     conditions = {"horse": {"track": ["track_id"], "surface": ["surface_id"], "distance_band": ["distance_band"]}}
     conditions |= {o: {"track": ["track_id"], "surface": ["surface_id"], "course": ["track_id", "surface_id", "distance_band"]} for o in ("jockey", "trainer")}
-    for owner in ("jockey", "trainer"):
-        df = cumulative_before(df, owner, [f"{owner}_id"], {"finish": "finish"}, source=own)
-        df = recent_before(df, owner, f"{owner}_id", 20, {"top3": "target_top3", "finish": "finish"})
-    for owner, kinds in conditions.items():
-        for kind, keys in kinds.items():
-            df = share_and_lift(cumulative_before(df, f"{owner}_{kind}", [f"{owner}_id", *keys], source=own), owner, kind)
-    for a, b in (("horse", "jockey"), ("jockey", "trainer"), ("horse", "trainer")):
-        df = cumulative_before(df, f"{a}_{b}", [f"{a}_id", f"{b}_id"], source=own)
-    return pedigree(df, source=own)
+    means = {"horse": {**MEASURES, "distance": "distance", "weight": "weight"}, "jockey": {"finish": "finish"}, "trainer": {"finish": "finish"}}
+    partners = {"horse": ("jockey", "trainer"), "jockey": ("trainer",), "trainer": ()}
+    recents = {"horse": [(n, {"top3": "target_top3", **MEASURES}) for n in (3, 5)], "jockey": [(20, {"top3": "target_top3", "finish": "finish"})], "trainer": [(20, {"top3": "target_top3", "finish": "finish"})]}
+    for owner in ("horse", "jockey", "trainer"):
+        specs = [spec(owner, means=means[owner], spans={"distance": "distance"} if owner == "horse" else None)]
+        specs += [spec(f"{owner}_{kind}", *keys) for kind, keys in conditions[owner].items()] + [spec(f"{owner}_{b}", f"{b}_id") for b in partners[owner]]
+        df = history_before(df, f"{owner}_id", specs, recents[owner], last=owner == "horse", source=own)
+        for kind in conditions[owner]:
+            df = share_and_lift(df, owner, kind)
+    return pedigree(fit(df), source=own)
 
 
 def pedigree(df: DataFrame, conditions: bool = True, source: DataFrame | None = None) -> DataFrame:
@@ -142,10 +197,9 @@ def pedigree(df: DataFrame, conditions: bool = True, source: DataFrame | None =
     source = df if source is None else source
     for kind in ("sire", "dam", "broodmare_sire"):
         key = f"{kind}_id"
-        df = cumulative_before(df, kind, [key], {"finish": "finish"}, missing=missing_key([key]), source=source)
-        df = df.withColumn(f"{kind}_past_top3_rate_smooth", F.when(~missing_key([key]), smooth(kind)))
-        for name, column in {"track": "track_id", "surface": "surface_id", "distance_band": "distance_band"}.items() if conditions and kind != "dam" else ():
-            p = f"{kind}_{name}"
-            df = cumulative_before(df, p, [key, column], missing=missing_key([key]), source=source)
-            df = df.withColumn(f"{p}_past_top3_rate_smooth", F.when(~missing_key([key]), smooth(p)))
+        specs = [spec(kind, means={"finish": "finish"})]
+        if conditions and kind != "dam":
+            specs += [spec(f"{kind}_{name}", column) for name, column in {"track": "track_id", "surface": "surface_id", "distance_band": "distance_band"}.items()]
+        df = history_before(df, key, specs, missing=missing_key([key]), source=source)
+        df = df.withColumns({f"{p}_past_top3_rate_smooth": F.when(~missing_key([key]), smooth(p)) for p, *_ in specs})
     return df

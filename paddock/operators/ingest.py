@@ -42,3 +42,10 @@ def pedigree_queue(horses: DataFrame, runners: DataFrame, limit: int, failed_too
     n = runners.groupBy("horse_id").agg(F.count(F.lit(1)).alias("runner_rows"))
     waiting = horses.where(F.col("pedigree_fetch_status").isin(states)).join(n, "horse_id", "left").withColumn("runner_rows", F.coalesce("runner_rows", F.lit(0)))
     return waiting.orderBy(F.desc("runner_rows"), "horse_id").limit(limit).select("horse_id", "horse_name", "runner_rows")
+
+
+def append_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Appends headers of all snapshots and the detail rows of fetched ones, under a key made of race, type and time; headers lie by day."""
+    keyed = snapshots.withColumn("snapshot_key", F.xxhash64("race_id", "bet_type", "snapshot_at"))
+    keyed.select("snapshot_id", "snapshot_key", "race_id", "bet_type", "snapshot_at", "status", F.to_date("snapshot_at").alias("day")).write.mode("append").partitionBy("day").parquet(f"{path}/header")
+    keyed.where("status = 'fetched'").select("snapshot_id", "snapshot_key", "horse_number", "odds").write.mode("append").parquet(f"{path}/detail")

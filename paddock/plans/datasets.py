@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators import base, relative
@@ -10,7 +10,7 @@ from paddock.plans.registry import query
 from paddock.sources.adapter import Tables
 from paddock.sources.scratch import kept
 
-BASE = """SELECT u.race_id, u.horse_number, u.finish, u.horse_id, u.jockey_id, u.trainer_id, u.gate, u.age, u.weight, u.time_sec, u.finish_diff, u.finish_3f, u.corner_4, r.date, r.track_id, r.surface_id, r.distance, r.track_condition_id, p.odds_min AS place_odds_min, p.odds_max AS place_odds_max, w.odds AS win_odds, h.sire_id, h.dam_id, h.broodmare_sire_id, CASE WHEN h.pedigree_fetch_status = 'fetched' THEN 1 ELSE 0 END AS pedigree_available, CASE WHEN u.finish <= 3 THEN 1 ELSE 0 END AS target_top3
+BASE = """SELECT u.race_id, u.horse_number, u.finish, u.horse_id, u.jockey_id, u.trainer_id, u.gate, u.age, u.weight, u.time_sec, u.finish_diff, u.finish_3f, u.corner_4, r.date, r.track_id, r.surface_id, r.distance, r.track_condition_id, r.race_number, r.post_time_min, r.course_direction_id, r.course_layout_id, r.course_variant_id, r.weather_id, u.sex_id, u.stable_id, u.horse_weight, u.horse_weight_diff, u.popularity, h.horse_name, p.odds_min AS place_odds_min, p.odds_max AS place_odds_max, w.odds AS win_odds, h.sire_id, h.dam_id, h.broodmare_sire_id, CASE WHEN h.pedigree_fetch_status = 'fetched' THEN 1 ELSE 0 END AS pedigree_available, CASE WHEN u.finish <= 3 THEN 1 ELSE 0 END AS target_top3
 FROM runner u JOIN race r ON u.race_id = r.race_id LEFT JOIN place_odds p ON p.race_id = u.race_id AND p.horse_number = u.horse_number LEFT JOIN win_odds w ON w.race_id = u.race_id AND w.horse_number = u.horse_number LEFT JOIN horse h ON h.horse_id = u.horse_id WHERE u.status_id = 0 AND u.finish IS NOT NULL"""
 B = ("base", BASE)
 SHOWN = "race_id, horse_number, date, finish, target_top3, track_id, distance, place_odds_min, place_odds_max, win_odds, sire_id, pedigree_available"
@@ -36,15 +36,16 @@ def odds_win_compat(t: Tables) -> DataFrame:
     return base.win_odds_as_place(rows(t)).select("race_id", "horse_number", "target_top3", "place_odds_min", "place_odds_max")
 
 
-EVAL = "race_id, date, horse_number, target_top3, track_id, surface_id, distance, pedigree_available, sire_id, dam_id, broodmare_sire_id, place_odds_min, place_odds_max, win_odds"
+# The columns of the evaluation dataset.
+EVAL = [
+    "race_id", "date", "track_id", "race_number", "post_time_min", "surface_id", "distance", "course_direction_id", "course_layout_id", "course_variant_id", "weather_id", "track_condition_id", "race_size", "gate", "horse_number",
+    "horse_id", "horse_name", "sex_id", "age", "jockey_id", "weight", "popularity", "stable_id", "trainer_id", "horse_weight", "horse_weight_diff", "place_odds_min", "place_odds_max", "target_top3",
+]
 
 
-@query(f"SELECT {EVAL}, CAST(count(*) OVER (PARTITION BY race_id) AS INT) AS race_size FROM base", B)
+@query(f"SELECT {', '.join(EVAL)} FROM (SELECT *, CAST(count(*) OVER (PARTITION BY race_id) AS INT) AS race_size FROM base)", B)
 def ds_eval_odds(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    df = rows(t).withColumn("race_size", F.count(F.lit(1)).over(Window.partitionBy("race_id")).cast("int"))
-    return df.select(*EVAL.split(", "), "race_size")
+    return rows(t).withColumn("race_size", F.count(F.lit(1)).over(Window.partitionBy("race_id")).cast("int")).select(*EVAL)
 
 
 @query()
@@ -59,17 +60,27 @@ def ds_training_plain(t: Tables) -> DataFrame:
     return base.guard(df)
 
 
-@query("SELECT u.race_id, u.horse_number, (SELECT count(*) FROM base b WHERE b.horse_id = u.horse_id AND b.date < u.date AND b.date < DATE '2000-10-01') AS horse_past_starts FROM base u WHERE u.date >= DATE '2000-10-01'", B)
-def ds_live(t: Tables) -> DataFrame:
-    df = rows(t)
-    edge = F.lit("2000-10-01").cast("date")
-    past, future = df.where(F.col("date") < edge), df.where(F.col("date") >= edge)
+LIVE = "date >= DATE '2000-10-01'"
+EARLY = "date < DATE '2000-10-01'"
+
 
-    def build(both: DataFrame) -> DataFrame:
-        known = both.where("NOT __live").groupBy("horse_id").agg(F.count(F.lit(1)).alias("horse_past_starts"))
-        return both.join(known, "horse_id", "left").withColumn("horse_past_starts", F.coalesce("horse_past_starts", F.lit(0)))
+def _known(owner: str) -> str:
+    return f"(SELECT {owner}_id AS id, count(*) AS n, sum(target_top3) AS k, avg(finish) AS f FROM base WHERE {EARLY} GROUP BY 1)"
 
-    return base.live(past, future, build).select("race_id", "horse_number", "horse_past_starts")
+
+@query(
+    "SELECT u.race_id, u.horse_number, " + ", ".join(f"coalesce({o}.n, 0) AS {o}_past_starts, CAST(coalesce({o}.k, 0) AS BIGINT) AS {o}_past_top3, {o}.k / {o}.n::DOUBLE AS {o}_past_top3_rate, {o}.f AS {o}_past_avg_finish" for o in ("horse", "jockey", "trainer"))
+    + ", CAST(u.date - l.d AS INT) AS horse_days_since_last, l.r AS horse_recent3_avg_finish, u.weight - avg(u.weight) OVER (PARTITION BY u.race_id) AS race_weight_diff FROM (SELECT * FROM base WHERE " + LIVE + ") u "
+    + " ".join(f"LEFT JOIN {_known(o)} {o} ON {o}.id IS NOT DISTINCT FROM u.{o}_id" for o in ("horse", "jockey", "trainer"))
+    + f" LEFT JOIN (SELECT horse_id, max(date) AS d, avg(finish) AS r FROM (SELECT *, row_number() OVER (PARTITION BY horse_id ORDER BY date DESC, race_id DESC, horse_number DESC) AS back FROM base WHERE {EARLY}) WHERE back <= 3 GROUP BY 1) l ON l.horse_id = u.horse_id",
+    B,
+)
+def ds_live(t: Tables) -> DataFrame:
+    """The whole training dataset for races to come, built through the same history; some of its columns are shown."""
+    df = kept(rows(t))
+    live = base.live_features(df.where(EARLY), df.where(LIVE))
+    shown = [f"{o}_past_{x}" for o in ("horse", "jockey", "trainer") for x in ("starts", "top3", "top3_rate", "avg_finish")]
+    return live.select("race_id", "horse_number", *shown, "horse_days_since_last", "horse_recent3_avg_finish", "race_weight_diff")
 
 
 REL = ("weight", "finish_diff", "time_sec", "corner_4")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from paddock.operators.search import rule_search as searched
 from paddock.plans.registry import query
 from paddock.plans.rules import STABLE, SUMS, TIERS, PER_FOLD, S, condition, rounded, scored, taken
 from paddock.sources.adapter import Tables
+from paddock.sources.scratch import kept
 
 PAIR = ("pair", "SELECT o.*, a.date, a.fold, a.track_id, a.surface_id, a.distance, least(a.target_top3, b.target_top3) AS target_top3, a.pred_top3 * b.pred_top3 AS score, least(a.pred_top3, b.pred_top3) AS min_pred, greatest(a.pred_rank, b.pred_rank) AS max_rank, (odds_min + odds_max) / 2 AS place_odds_mid FROM wide_odds o JOIN s a ON a.race_id = o.race_id AND a.horse_number = horse_number_1 JOIN s b ON b.race_id = o.race_id AND b.horse_number = horse_number_2")
 PAIRS = ("pairs", "SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY score DESC, horse_number_1, horse_number_2) AS score_rank FROM pair")
@@ -105,7 +108,7 @@ def both(t: Tables) -> DataFrame:
     return p.consensus(scored(t).drop("pred_top3_secondary"), second)
 
 
-C = ("c", "SELECT * FROM s WHERE horse_number <= 8 AND pred_top3_secondary IS NOT NULL")
+C = ("c", "SELECT * FROM s WHERE pred_top3_secondary IS NOT NULL")
 
 
 @query("SELECT race_id, horse_number, round((pred_top3 + pred_top3_secondary) / 2, 6) AS pred_top3_mean FROM c", S, C)
@@ -166,15 +169,54 @@ def cand_compare(t: Tables) -> DataFrame:
     return rounded(one.unionByName(two)).orderBy(F.desc("return_mid_pct"), "rule")
 
 
-LEDGER = ("ledger", "SELECT race_id, fold, 'place' AS bet_type, rule AS strategy, CAST(horse_number AS VARCHAR) AS selection_key, 100.0::DOUBLE AS stake, target_top3 AS hit, place_odds_mid AS odds, target_top3 * place_odds_mid * 100 AS payout FROM single UNION ALL SELECT race_id, fold, 'wide', 'wide_top3', horse_number_1 || '-' || horse_number_2, 100.0, target_top3, place_odds_mid, target_top3 * place_odds_mid * 100 FROM pairs WHERE score_rank <= 3 UNION ALL SELECT race_id, fold, 'trio', 'trio_top2', horse_number_1 || '-' || horse_number_2 || '-' || horse_number_3, 100.0, target_top3, place_odds_mid, target_top3 * place_odds_mid * 100 FROM triples WHERE score_rank <= 2")
-ALL = (S, ("single", taken(TIERS)), PAIR, PAIRS, TRIPLE, TRIPLES, LEDGER)
+# The strategies of each type of bet, and the named portfolios of them.
+GOOD, FAR = (4, 5, 6, 8, 9), (1, 2, 3, 7, 10)
+BETS = {
+    "win": [
+        Rule("win_stable", 0.15, 1.2, 3.5, 1600, None, GOOD, surface_id=0, pred_rank_max=3),
+        Rule("win_roi", 0.15, 3.0, 10.0, 1600, None, GOOD, surface_id=0, pred_rank_max=3),
+        Rule("win_broad", 0.12, 1.0, 4.0, 1400, None, (4, 5, 6, 9), surface_id=0),
+    ],
+    "place": [
+        Rule("place_latest", 0.37, 3.2, 6.0, 1200, None, pred_rank_max=5, ev_mid_min=1.5),
+        Rule("place_broad", 0.37, 3.0, 6.0, 1200, None, pred_rank_max=5, ev_mid_min=1.5),
+        Rule("place_stable", 0.34, 3.2, 6.0, 1200, None, None, (3, 7, 10), pred_rank_max=5, ev_mid_min=1.4),
+        Rule("pedigree_mid_20_stable", None, 3.2, 6.0, include_track_ids=GOOD, mode="intersection", base_pred_min=0.34, secondary_pred_min=0.36),
+    ],
+    "wide": [
+        Rule("wide_roi", 0.10, 10.0, 100.0, exclude_track_ids=FAR, pred_rank_max=5, ev_mid_min=0.0, max_rank_max=3, min_pred_min=0.25),
+        Rule("wide_broad", 0.07, 10.0, 100.0, exclude_track_ids=FAR, pred_rank_max=5, ev_mid_min=1.0, max_rank_max=3, min_pred_min=0.22),
+    ],
+    "trio": [
+        Rule("trio_roi", 0.0, 100.0, 1000.0, None, None, None, FAR, 0, 10, 0.0, max_rank_max=6, min_pred_min=0.0),
+        Rule("trio_balanced", 0.0, 1.0, 200.0, 1800, 2600, None, FAR, 0, 10, 0.0, max_rank_max=4, min_pred_min=0.0),
+        Rule("trio_hit_rate", 0.0, 1.0, 100.0, 1800, 2600, None, (3, 7, 10), 0, 3, 0.0, max_rank_max=4, min_pred_min=0.0),
+        Rule("trio_high_roi", 0.0, 20.0, 200.0, 1800, 2600, None, FAR, 0, 10, 0.0, max_rank_max=4, min_pred_min=0.0),
+    ],
+}
+PORTFOLIOS = {
+    "best_mixed_width": ["win_stable", "place_broad", "wide_roi", "trio_roi"], "balanced_all": ["win_stable", "place_latest", "wide_roi", "trio_balanced"], "roi_all": ["win_roi", "place_latest", "wide_roi", "trio_roi"],
+    "volume_plus_roi": ["win_stable", "win_roi", "place_latest", "wide_roi", "trio_balanced"], "exotic_roi": ["wide_roi", "trio_roi"], "exotic_balanced": ["wide_roi", "trio_balanced"], "place_wide": ["place_broad", "wide_roi"],
+    "place_trio_roi": ["place_broad", "trio_roi"], "pedigree_trio_roi": ["pedigree_mid_20_stable", "trio_high_roi"], "trio_double_roi": ["trio_roi", "trio_high_roi"], "base_low_variance": ["win_stable", "place_latest"],
+}
+NUMBERS = {"win": 1, "place": 1, "wide": 2, "trio": 3}
+WON = ("won", "SELECT s.* EXCLUDE (target_top3, place_odds_mid, expected_value_mid), CASE WHEN u.finish = 1 THEN 1 ELSE 0 END AS target_top3, w.odds AS place_odds_mid, s.pred_top3 * w.odds AS expected_value_mid FROM s JOIN runner u ON u.race_id = s.race_id AND u.horse_number = s.horse_number JOIN win_odds w ON w.race_id = s.race_id AND w.horse_number = s.horse_number")
+AS_ROWS = [(f"{x}_rows", f"SELECT *, score AS pred_top3, score_rank AS pred_rank, score * place_odds_mid AS expected_value_mid FROM {x}") for x in ("pairs", "triples")]
+FROM = {"win": "won", "place": "s", "wide": "pairs_rows", "trio": "triples_rows"}
+KEY_OF = {"win": "CAST(horse_number AS VARCHAR)", "place": "CAST(horse_number AS VARCHAR)", "wide": "horse_number_1 || '-' || horse_number_2", "trio": "horse_number_1 || '-' || horse_number_2 || '-' || horse_number_3"}
+LEDGER = ("ledger", " UNION ALL ".join(f"SELECT race_id, fold, '{k}' AS bet_type, rule AS strategy, {KEY_OF[k]} AS selection_key, 100.0::DOUBLE AS stake, target_top3 AS hit, place_odds_mid AS odds, target_top3 * place_odds_mid * 100 AS payout FROM ({taken(rules, FROM[k])})" for k, rules in BETS.items()))
+ALL = (S, WON, PAIR, PAIRS, TRIPLE, TRIPLES, *AS_ROWS, LEDGER)
 
 
 def bets(t: Tables) -> DataFrame:
-    place = p.ledger(r.applied(scored(t), TIERS), "place", F.col("rule"), ["horse_number"])
-    wide = p.ledger(pairs(t).where("score_rank <= 3"), "wide", "wide_top3", ["horse_number_1", "horse_number_2"])
-    trio = p.ledger(triples(t).where("score_rank <= 2"), "trio", "trio_top2", ["horse_number_1", "horse_number_2", "horse_number_3"])
-    return place.unionByName(wide).unionByName(trio)
+    """The ledger of all strategies, kept once."""
+    one = scored(t)
+    won = one.join(t.runner.select("race_id", "horse_number", "finish"), ["race_id", "horse_number"]).join(t.win_odds, ["race_id", "horse_number"])
+    won = won.withColumns({"target_top3": (F.col("finish") == 1).cast("int"), "place_odds_mid": F.col("odds"), "expected_value_mid": F.col("pred_top3") * F.col("odds")}).drop("odds")
+    source = {"win": won, "place": one, "wide": x.as_rows(pairs(t)), "trio": x.as_rows(triples(t))}
+    number = lambda n: ["horse_number"] if n == 1 else [f"horse_number_{i + 1}" for i in range(n)]
+    parts = [p.ledger(r.applied(source[k], rules), k, F.col("rule"), number(NUMBERS[k])) for k, rules in BETS.items()]
+    return kept(reduce(DataFrame.unionByName, parts))
 
 
 def total(t: Tables) -> int:
@@ -195,8 +237,7 @@ def bet_summary(t: Tables) -> DataFrame:
     return rounded(p.bet_summary(bets(t), total(t)))
 
 
-PORTFOLIOS = {"tiers": [q.name for q in TIERS], "place_wide": ["volume_tracks", "wide_top3"], "all_types": ["high_return", "wide_top3", "trio_top2"], "exotic": ["wide_top3", "trio_top2"]}
-GROUPS = {"place": [q.name for q in TIERS], "wide": ["wide_top3"], "trio": ["trio_top2"]}
+GROUPS = {k: [q.name for q in rules] for k, rules in BETS.items()}
 
 
 def members_sql(members: dict[str, list[str]]) -> tuple[str, str]:
@@ -214,13 +255,26 @@ def bet_combos(t: Tables) -> DataFrame:
     return rounded(p.bet_summary(p.in_portfolios(bets(t), p.one_per_type(GROUPS)), total(t), "portfolio"))
 
 
-STRATEGIES = [*(q.name for q in TIERS), "wide_top3", "trio_top2"]
-BITS = ", ".join(f"('{s}', {1 << i})" for i, s in enumerate(STRATEGIES))
+STRATEGIES = [name for names in GROUPS.values() for name in names]
+BIT = "CASE strategy " + " ".join(f"WHEN '{n}' THEN {1 << i}" for i, n in enumerate(STRATEGIES)) + " END"
+SUBSETS = [
+    ("money", f"SELECT {BIT} AS bit, fold, count(*) AS n, sum(hit) AS hits, coalesce(sum(payout), 0) AS paid, sum(stake) AS staked FROM ledger GROUP BY 1, 2"),
+    ("masks", f"SELECT m, count(*) AS races FROM (SELECT race_id, bit_or({BIT}) AS m FROM ledger GROUP BY 1) GROUP BY 1"),
+    ("u", f"SELECT unnest(range(1, {1 << len(STRATEGIES)})) AS subset"),
+    ("by_fold", "SELECT subset, fold, sum(n) AS n, sum(hits) AS hits, sum(paid) AS paid, sum(staked) AS staked FROM u JOIN money ON subset & bit <> 0 GROUP BY 1, 2"),
+    ("over_folds", "SELECT subset, sum(n) AS n, sum(hits) AS hits, 100 * sum(paid) / sum(staked) AS roi, min(100 * paid / staked) AS worst FROM by_fold GROUP BY 1"),
+    ("bought", "SELECT subset, 100.0::DOUBLE * sum(races) / (SELECT count(DISTINCT race_id) FROM predictions) AS rate, sum(races) AS races FROM u JOIN masks ON subset & m <> 0 GROUP BY 1"),
+]
+#: Gates of the subset search: percentages of races bought, and the worst fold's return.
+GATES = (1.0, 60.0, 20.0)
 
 
-@query("SELECT CAST(u AS INT) AS subset, count(*) AS selections, CAST(sum(hit) AS BIGINT) AS hits, round(100 * coalesce(sum(payout), 0) / sum(stake), 6) AS roi_pct, count(DISTINCT race_id) AS races, round(100.0 * count(DISTINCT race_id) / (SELECT count(DISTINCT race_id) FROM predictions), 6) AS buy_rate_pct FROM bits JOIN (SELECT unnest(range(1, 64)) AS u) ON (u & b) <> 0 GROUP BY 1", *ALL, ("bits", f"SELECT l.*, b FROM ledger l JOIN (VALUES {BITS}) v(s, b) ON s = strategy"))
+@query(f"SELECT CAST(o.subset AS INT) AS subset, CAST(n AS BIGINT) AS selections, CAST(hits AS BIGINT) AS hits, round(roi, 6) AS roi_pct, round(worst, 6) AS min_fold_roi_pct, CAST(races AS BIGINT) AS races, round(rate, 6) AS buy_rate_pct FROM over_folds o JOIN bought b ON b.subset = o.subset WHERE rate >= {GATES[0]} AND rate <= {GATES[1]} AND worst >= {GATES[2]}", *ALL, *SUBSETS)
 def bet_subsets(t: Tables) -> DataFrame:
-    return rounded(p.subsets(bets(t), STRATEGIES, total(t)))
+    """All 8,191 subsets of the 13 strategies; those that pass the gates, the best return first."""
+    found = p.subsets(bets(t), STRATEGIES, total(t))
+    low, high, worst = GATES
+    return rounded(found.where((F.col("buy_rate_pct") >= low) & (F.col("buy_rate_pct") <= high) & (F.col("min_fold_roi_pct") >= worst))).orderBy(F.desc("roi_pct"), F.desc("min_fold_roi_pct"), "subset")
 
 
 @query()

@@ -3,84 +3,138 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.operators import base
 from paddock.operators import modelling as m
 from paddock.operators import rules as r
 from paddock.operators import splits as s
-from paddock.plans.datasets import rows
+from paddock.plans.datasets import BASE, rows
 from paddock.plans.registry import query
-from paddock.plans.rules import rounded
+from paddock.plans.rules import GRID, rounded
 from paddock.sources import io, pages
 from paddock.sources.adapter import Tables
 from paddock.sources.scratch import folder, kept
 
-CATEGORIES, NUMBERS = ["track_id", "surface_id"], ["distance", "gate", "age", "weight"]
+CATEGORIES = ["track_id", "surface_id", "track_condition_id"]
+#: Folds of the walk, the share of race days before the first, and the size of the models; the last two are far below a production model's (500 trees of depth 6), which are these functions' parameters.
+FOLDS, RATIO, TREES, DEPTH = 4, 0.5, 5, 3
+#: Groups of columns that ablation leaves out, by parts of their names.
+GROUPS = {"no_pedigree": ["sire", "dam_", "pedigree"], "no_affinity": ["_track_", "_surface_", "_course_", "_distance_band_"]}
 
 
 def trained_rows(t: Tables) -> DataFrame:
-    return kept(rows(t).select("race_id", "horse_number", "date", "target_top3", "place_odds_min", "place_odds_max", *CATEGORIES, *NUMBERS))
+    """The training dataset with the place odds that evaluation needs."""
+    own = kept(rows(t))
+    odds = own.select(*base.KEYS, "place_odds_min", "place_odds_max", ((F.col("place_odds_min") + F.col("place_odds_max")) / 2).alias("place_odds_mid"))
+    return kept(base.guard(base.training(own)).join(odds, base.KEYS))
 
 
-def walked(t: Tables, categories=CATEGORIES, numbers=NUMBERS) -> DataFrame:
-    df = trained_rows(t)
-    out = m.walk_forward(df, s.fold_table(df, 2, 0.6), categories, numbers)
-    return out.withColumn("place_odds_mid", (F.col("place_odds_min") + F.col("place_odds_max")) / 2)
+def numbers_of(df: DataFrame) -> list[str]:
+    """The numeric columns that models learn from."""
+    none = {*CATEGORIES, "target_top3", "place_odds_min", "place_odds_mid", "place_odds_max"}
+    return [c for c, kind in df.dtypes if kind in ("int", "bigint", "double") and c not in none]
+
+
+def walked(df: DataFrame, numbers: list[str], folds: DataFrame) -> DataFrame:
+    return kept(m.walk_forward(df, folds, CATEGORIES, numbers, TREES, DEPTH).drop(*[c for c in numbers if c != "horse_number"]))
 
 
 @query()
 def wf_predict(t: Tables) -> DataFrame:
-    return walked(t).select("race_id", "horse_number", "fold", "pred_top3", "target_top3")
+    df = trained_rows(t)
+    return walked(df, numbers_of(df), s.fold_table(df, FOLDS, RATIO)).select("race_id", "horse_number", "fold", "pred_top3", "target_top3")
 
 
 @query()
 def wf_eval(t: Tables) -> DataFrame:
     """Metrics of each fold beside the best grid rules' results in it."""
-    scored = kept(walked(t))
-    best = r.summary(r.applied(r.enriched(scored), r.grid([0.3, 0.4, 0.5], [(1.0, 2.0), (2.0, 5.0)])), "rule", "fold")
+    df = trained_rows(t)
+    scored = walked(df, numbers_of(df), s.fold_table(df, FOLDS, RATIO))
+    best = r.summary(r.applied(r.enriched(scored), GRID), "rule", "fold")
     return rounded(s.metrics(scored).join(best, "fold")).orderBy(F.desc("return_mid_pct")).limit(20)
 
 
 @query()
 def holdout_eval(t: Tables) -> DataFrame:
-    df = s.split_ratio(trained_rows(t), 0.3)
-    cut = df.where("part = 'test'").agg(F.min("date")).first()[0]
+    """The holdout's reports in one table: best of each race, thresholds, bands of odds, and the rule grid."""
+    df = trained_rows(t)
+    cut = s.split_ratio(df, 0.2).where("part = 'test'").agg(F.min("date")).first()[0]
     fold = t.spark.createDataFrame([(1, cut, None)], "fold int, test_start date, test_end date")
-    scored = m.walk_forward(df.drop("part"), fold, CATEGORIES, NUMBERS).withColumn("place_odds_mid", (F.col("place_odds_min") + F.col("place_odds_max")) / 2)
-    return rounded(s.metrics(scored).crossJoin(r.summary(r.enriched(scored).where(r.predicate(r.Rule("any", 0.3, 1.0, 10.0))))))
+    scored = kept(r.enriched(walked(df, numbers_of(df), fold)))
+    parts = {
+        "strategy": r.summary(r.top_k(scored, "pred_top3", [1, 2, 3]).withColumn("name", F.col("k").cast("string")), "name"),
+        "threshold": r.summary(r.above(scored, "pred_top3", [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]).withColumn("name", F.col("threshold").cast("string")), "name"),
+        "band": r.summary(r.banded(scored, "place_odds_mid", [0, 1.5, 2.0, 3.0, 5.0, 10.0, 1000.0]).withColumnRenamed("band", "name"), "name"),
+        "grid": r.summary(r.applied(scored, GRID).withColumnRenamed("rule", "name"), "name"),
+    }
+    report = reduce(DataFrame.unionByName, [df.withColumn("report", F.lit(k)) for k, df in parts.items()])
+    measured = s.metrics(scored).drop("fold")
+    return rounded(report.withColumn("one", F.lit(1)).join(F.broadcast(measured.withColumn("one", F.lit(1))), "one").drop("one"))
 
 
 @query()
 def ablation(t: Tables) -> DataFrame:
     """Metrics without a group of columns, and the difference to all columns."""
-    full = s.metrics(kept(walked(t))).withColumn("variant", F.lit("all"))
-    less = s.metrics(kept(walked(t, [], NUMBERS))).withColumn("variant", F.lit("no_categories"))
-    base = full.select("fold", F.col("auc").alias("base_auc"))
-    return rounded(full.unionByName(less).join(base, "fold").withColumn("auc_delta", F.col("auc") - F.col("base_auc")))
+    df = trained_rows(t)
+    folds = s.fold_table(df, 2, RATIO)
+    every = numbers_of(df)
+    variants = {"all": every} | {name: [c for c in every if not any(p in c for p in parts)] for name, parts in GROUPS.items()}
+    results = kept(reduce(DataFrame.unionByName, [s.metrics(walked(df, numbers, folds)).withColumn("variant", F.lit(name)) for name, numbers in variants.items()]))
+    full = results.where("variant = 'all'").select("fold", F.col("auc").alias("base_auc"))
+    return rounded(results.join(full, "fold").withColumn("auc_delta", F.col("auc") - F.col("base_auc")))
 
 
-@query("SELECT feature, round(avg(v), 6) AS mean, max(v) AS max, min(v) AS min, count(v) AS folds FROM (SELECT CAST(track_id AS VARCHAR) AS feature, fold, round(avg(pred_top3), 6) AS v FROM predictions GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT feature, avg(v) AS mean, max(v) AS max, min(v) AS min, count(v) AS folds FROM (SELECT CAST(track_id AS VARCHAR) AS feature, fold, CAST(round(avg(pred_top3) * 1000000) AS BIGINT) AS v FROM predictions GROUP BY 1, 2) GROUP BY 1")
 def importance(t: Tables) -> DataFrame:
-    """The report over a table of (fold, feature, importance)."""
-    table = t.predictions.groupBy(F.col("track_id").cast("string").alias("feature"), "fold").agg(F.round(F.avg("pred_top3"), 6).alias("importance"))
-    return m.importance_report(table).withColumn("mean", F.round("mean", 6))
+    """The report over a table of (fold, feature, importance), in millionths, of which a mean is one division."""
+    table = t.predictions.groupBy(F.col("track_id").cast("string").alias("feature"), "fold").agg(F.round(F.avg("pred_top3") * 1_000_000).cast("long").alias("importance"))
+    return m.importance_report(table)
 
 
 @query()
+def importance_models(t: Tables) -> DataFrame:
+    """The same report over the importances of the walk's models."""
+    df = trained_rows(t)
+    numbers, folds = numbers_of(df), s.fold_table(df, 2, RATIO)
+    found = [(f.fold, name, value) for f, model in m.fold_models(df, folds, CATEGORIES, numbers, TREES, DEPTH) for name, value in m.importances(model, CATEGORIES, numbers)]
+    return rounded(m.importance_report(t.spark.createDataFrame(found, "fold int, feature string, importance double")))
+
+
+@query("SELECT feature, value, dense_rank() OVER (PARTITION BY feature ORDER BY n DESC, value) - 1 AS place, n FROM (SELECT 'surface_id' AS feature, coalesce(CAST(surface_id AS VARCHAR), '__MISSING__') AS value, count(*) AS n FROM base GROUP BY 2 UNION ALL SELECT 'jockey_id', coalesce(jockey_id, '__MISSING__'), count(*) FROM base GROUP BY 2)", ("base", BASE))
 def feat_prep(t: Tables) -> DataFrame:
-    return m.prepared(rows(t), ["surface_id", "jockey_id"]).groupBy("surface_id").agg(F.count(F.lit(1)).alias("n"))
+    """The index of each category, the most frequent first, a missing one by its own name, as the models' pipeline gives it to the rows."""
+    names = ["surface_id", "jockey_id"]
+    df = kept(m.prepared(rows(t), names))
+    indexed = m.indexer(names).fit(df).transform(df)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"{c}__i").cast("int").alias("place")) for c in names])
+    each = indexed.select(F.explode(pairs).alias("x")).select("x.*")
+    return each.groupBy("feature", "value", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def model_save_score(t: Tables) -> DataFrame:
-    df = m.prepared(trained_rows(t), CATEGORIES)
+    df = trained_rows(t)
+    numbers = numbers_of(df)
+    df = m.prepared(df, CATEGORIES).fillna(m.ABSENT, numbers)
     at = f"{folder(t.spark)}/model-{uuid.uuid4().hex}"
-    m.save(m.pipeline(CATEGORIES, NUMBERS).fit(df), at, [*CATEGORIES, *NUMBERS], df.count())
+    m.save(m.pipeline(CATEGORIES, numbers, trees=TREES, depth=DEPTH).fit(df), at, [*CATEGORIES, *numbers], df.count())
     return m.score(m.load(at), df).select("race_id", "horse_number", "pred_top3")
 
 
+@query("SELECT CAST(fold AS INT) AS fold, CAST(count(*) AS BIGINT) AS n, CAST(sum(horse_number) AS BIGINT) AS numbers, count(*) AS in_folder FROM predictions GROUP BY 1")
+def io_parquet_out(t: Tables) -> DataFrame:
+    """Predictions written by fold and read back: whole, and each fold's folder on its own."""
+    at = f"{folder(t.spark)}/predictions-{uuid.uuid4().hex}"
+    io.write_predictions(t.predictions, at)
+    whole = t.spark.read.parquet(at).groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("horse_number").alias("numbers"))
+    apart = [t.spark.read.parquet(f"{at}/fold={f}").agg(F.lit(f).alias("fold"), F.count(F.lit(1)).alias("in_folder")) for f in (1, 2, 3, 4)]
+    return whole.join(reduce(DataFrame.unionByName, apart), "fold")
+
+
 @query("SELECT race_id, count(*) AS n FROM win_odds WHERE race_id IN (SELECT race_id FROM race WHERE track_id = 4) GROUP BY 1")
 def io_tables(t: Tables) -> DataFrame:
     return io.only_races(t.win_odds, t.race.where("track_id = 4")).groupBy("race_id").agg(F.count(F.lit(1)).alias("n"))
@@ -115,11 +169,18 @@ def io_rule_json(t: Tables) -> DataFrame:
     return t.predictions.where(r.predicate(rule)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, 0 AS n_rows FROM pages")
+#: The given pages hold no tables, so each is given one of results, and one of pedigrees, made of its own number.
+ROWS_HTML = "concat(coalesce(html, ''), '<table><tr><th>No</th><th>Name</th><th>Odds</th></tr>', repeat('<tr><td>1</td><td> n </td><td>2.5</td></tr>', CAST(page_id % 7 AS INT)), '</table>')"
+PED_HTML = "concat('<table>', repeat('<tr><td>a</td><td>b</td></tr>', CAST(page_id % 16 AS INT)), '<tr><td>s', CAST(page_id AS {s}), '</td><td>x</td></tr>', repeat('<tr><td>c</td><td>d</td></tr>', CAST(14 + page_id % 3 AS INT)), '</table>')"
+
+
+@query("SELECT page_id, CAST(page_id % 7 AS INT) AS n_rows, CAST(CASE WHEN page_id % 7 > 0 THEN i END AS INT) AS row, CASE WHEN page_id % 7 > 0 THEN '1|n|2.5' END AS cells FROM (SELECT page_id, unnest(range(greatest(1, page_id % 7))) AS i FROM pages)")
 def html_rows(t: Tables) -> DataFrame:
-    return pages.html_rows(t.pages).select("page_id", "n_rows").distinct()
+    found = pages.html_rows(t.pages.select("page_id", F.expr(ROWS_HTML).alias("html")))
+    text = F.concat_ws("|", *[F.try_element_at("cells", F.lit(c)) for c in ("No", "Name", "Odds")])
+    return found.select("page_id", "n_rows", "row", F.when(F.col("row").isNotNull(), text).alias("cells"))
 
 
-@query("SELECT page_id, 'failed' AS status FROM pages")
+@query("SELECT page_id, CASE WHEN rows >= 17 THEN CASE WHEN page_id % 16 = 0 THEN 's' || page_id ELSE 'a' END END AS sire, CASE WHEN rows >= 17 THEN 'c' END AS dam, CASE WHEN rows >= 17 THEN 'd' END AS broodmare_sire, CASE WHEN rows >= 17 THEN 'fetched' ELSE 'failed' END AS status FROM (SELECT page_id, page_id % 16 + 15 + page_id % 3 AS rows FROM pages)")
 def html_pedigree(t: Tables) -> DataFrame:
-    return pages.html_pedigree(t.pages).select("page_id", "status")
+    return pages.html_pedigree(t.pages.select("page_id", F.expr(PED_HTML.format(s="STRING")).alias("html")))

@@ -86,22 +86,30 @@ def norm_single_odds(t: Tables) -> DataFrame:
     return one.select(*KEY, n.odds(F.col("win_text")).alias("odds"), low.alias("odds_min"), high.alias("odds_max"))
 
 
-@query("""SELECT race_id, horse_number, horse_number AS horse_number_1, horse_number + 1 AS horse_number_2, TRUE AS trio_rejected FROM raw_text""")
+TRIO_KEY = "concat(lpad(CAST(horse_number + 2 AS {s}), 2, '0'), '-', CASE WHEN gate = 1 THEN '' WHEN gate = 2 THEN 'x-' ELSE '01-' END, lpad(CAST(horse_number + 1 AS {s}), 2, '0'))"
+
+
+@query(f"""SELECT race_id, horse_number, horse_number AS horse_number_1, horse_number + 1 AS horse_number_2, gate IN (1, 2) AS trio_rejected, CASE WHEN gate > 2 THEN 1 END AS trio_1, CASE WHEN gate > 2 THEN horse_number + 1 END AS trio_2, CASE WHEN gate > 2 THEN horse_number + 2 END AS trio_3 FROM runner_raw""")
 def norm_combo_odds(t: Tables) -> DataFrame:
-    pair = n.combination(F.col("wide_key_text"), 2)
-    df = t.raw_text.select(*KEY, pair.alias("pair"), n.combination(F.col("wide_key_text"), 3).isNull().alias("trio_rejected"))
-    return df.select(*KEY, F.get("pair", F.lit(0)).alias("horse_number_1"), F.get("pair", F.lit(1)).alias("horse_number_2"), "trio_rejected")
+    df = t.raw_text.join(t.runner_raw.select(*KEY, F.expr(TRIO_KEY.format(s="STRING")).alias("trio_key")), list(KEY))
+    df = df.select(*KEY, n.combination(F.col("wide_key_text"), 2).alias("two"), n.combination(F.col("trio_key"), 3).alias("three"))
+    number = lambda c, i, name: F.get(c, F.lit(i)).alias(name)
+    return df.select(*KEY, number("two", 0, "horse_number_1"), number("two", 1, "horse_number_2"), F.col("three").isNull().alias("trio_rejected"), *[number("three", i, f"trio_{i + 1}") for i in range(3)])
 
 
-PAYLOAD = """concat('cb({{"data":{{"odds":{{"2":{{"', lpad(CAST(horse_number AS {s}), 2, '0'), '":["', win_text, '","9.9"]}}}}}}}})')"""
+# The numbers of the odds types in a payload.
+KINDS = {"win": "1", "place": "2", "wide": "5", "trio": "7"}
+BLOCK = """'"{k}":{{{{"', lpad(CAST(horse_number AS {{s}}), 2, '0'), '":["', win_text, '","9.9"]}}}}'"""
+PAYLOAD = "concat('cb({{\"data\":{{\"odds\":{{', " + ", ',', ".join(BLOCK.format(k=k) for k in ("1", "2")) + ", CASE WHEN horse_number % 2 = 0 THEN concat(',', " + BLOCK.format(k="5") + ") ELSE '' END, CASE WHEN horse_number % 3 = 0 THEN concat(',', " + BLOCK.format(k="7") + ") ELSE '' END, '}}}}}})', CASE WHEN horse_number = 4 THEN ';' ELSE '' END)"
 
 
-@query("""SELECT race_id, horse_number, lpad(CAST(horse_number AS VARCHAR), 2, '0') AS key, win_text AS first_value, 2 AS n_values, TRUE AS other_missing FROM raw_text""")
+@query("""SELECT race_id, horse_number, k AS kind, CASE WHEN has THEN lpad(CAST(horse_number AS VARCHAR), 2, '0') END AS key, CASE WHEN has THEN win_text END AS first_value, CASE WHEN has THEN 2 END AS n_values FROM (SELECT *, k IN ('win', 'place') OR k = 'wide' AND horse_number % 2 = 0 OR k = 'trio' AND horse_number % 3 = 0 AS has FROM raw_text, (SELECT unnest(['win', 'place', 'wide', 'trio']) AS k))""")
 def norm_jsonp(t: Tables) -> DataFrame:
+    """The block of each type of odds in a payload; nulls where it has none."""
     df = t.raw_text.select(*KEY, F.expr(PAYLOAD.format(s="STRING")).alias("payload"))
-    block = n.jsonp_odds(F.col("payload"), "2")
-    one = df.select(*KEY, F.explode(block).alias("key", "values"), n.jsonp_odds(F.col("payload"), "5").isNull().alias("other_missing"))
-    return one.select(*KEY, "key", F.get("values", F.lit(0)).alias("first_value"), F.size("values").alias("n_values"), "other_missing")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), n.jsonp_odds(F.col("payload"), number).alias("block")) for k, number in KINDS.items()])
+    each = df.select(*KEY, F.explode(kinds).alias("x")).select(*KEY, "x.kind", F.explode_outer("x.block").alias("key", "values"))
+    return each.select(*KEY, "kind", "key", F.get("values", F.lit(0)).alias("first_value"), F.when(F.col("values").isNotNull(), F.size("values")).alias("n_values"))
 
 
 @query("""SELECT race_id, horse_number, lpad(CAST(horse_number AS VARCHAR), 2, '0') || '-' || lpad(CAST(horse_number + 1 AS VARCHAR), 2, '0') AS wide_key, win_text || '-9.9' AS wide_text, win_text FROM raw_text""")
@@ -112,16 +120,32 @@ def norm_odds_block(t: Tables) -> DataFrame:
     return df.select(*KEY, wide["key"].alias("wide_key"), wide["value"].alias("wide_text"), F.map_values(n.odds_block(F.col("block"), 1, False))[0].alias("win_text"))
 
 
-@query("""SELECT race_id, count(*) FILTER (WHERE NOT ok) = 0 AS accepted, count(*) FILTER (WHERE finish_text = '?') > 0 AS bad_finish, count(*) FILTER (WHERE horse_weight_text = '計不') > 0 AS bad_weight FROM (SELECT *, finish_text <> '?' AND horse_weight_text <> '計不' AS ok FROM raw_text) GROUP BY race_id""")
+#: One bad text of each part at a runner's number, and a race whose required key is missing.
+BROKEN = {"win_text": "CASE WHEN horse_number = 11 THEN 'x' ELSE win_text END", "place_text": "CASE WHEN horse_number = 12 THEN '1.0' ELSE place_text END", "wide_key_text": "CASE WHEN horse_number = 13 THEN '07' ELSE wide_key_text END", "trio_key_text": "CASE WHEN horse_number = 10 THEN '01-02' ELSE concat(wide_key_text, '-17') END"}
+PARTS = ("race", "runners", "win", "place", "wide", "trio")
+
+
+@query("""SELECT r.race_id, track_id <> 7 AND coalesce(ok, TRUE) AS accepted, array_to_string(list_sort(list_filter([CASE WHEN track_id = 7 THEN 'race' END, CASE WHEN runners THEN 'runners' END, CASE WHEN win THEN 'win' END, CASE WHEN place THEN 'place' END, CASE WHEN wide THEN 'wide' END, CASE WHEN trio THEN 'trio' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM race r LEFT JOIN
+(SELECT race_id, NOT (bool_or(bad) OR max(horse_number) >= 10) AS ok, bool_or(bad) AS runners, max(horse_number) >= 11 AS win, max(horse_number) >= 12 AS place, max(horse_number) >= 13 AS wide, max(horse_number) >= 10 AS trio FROM (SELECT *, finish_text = '?' OR horse_weight_text = '計不' AS bad FROM raw_text) GROUP BY 1) u ON u.race_id = r.race_id""")
 def norm_reject(t: Tables) -> DataFrame:
-    """A race with one unreadable part is rejected whole; reasons say which parts."""
+    """A race with one unreadable part, or without a required key, is rejected whole; reasons say which parts."""
     from paddock.operators.ingest import accept
 
-    status, weight = n.finish(F.col("finish_text"))[1], n.body_weight(F.col("horse_weight_text"))[0]
-    reasons = t.raw_text.select("race_id", F.explode(F.array_compact(F.array(F.when(n.rejected(F.col("finish_text"), status), "finish"), F.when(n.rejected(F.col("horse_weight_text"), weight), "weight")))).alias("reason"))
-    good, bad = accept(t.raw_text.select("race_id").distinct(), reasons)
-    both = good.select("race_id", F.array().cast("array<string>").alias("reasons"), F.lit(True).alias("accepted")).union(bad.select("race_id", "reasons", F.lit(False)))
-    return both.select("race_id", "accepted", F.array_contains("reasons", "finish").alias("bad_finish"), F.array_contains("reasons", "weight").alias("bad_weight"))
+    race = t.race.select("race_id", F.when(F.col("track_id") != 7, F.struct("race_id", "date", F.col("track_id").alias("track"), "race_number")).alias("keys"))
+    missing = F.col("keys").isNull() | F.exists(F.array(*[F.col(f"keys.{k}").isNull() for k in ("race_id", "date", "track", "race_number")]), lambda x: x)
+    rows = t.raw_text.withColumns({c: F.expr(e) for c, e in BROKEN.items()})
+    unread = lambda text, value: text.isNotNull() & ~text.startswith("-") & value
+    cannot = {
+        "runners": n.rejected(F.col("finish_text"), n.finish(F.col("finish_text"))[1]) | n.rejected(F.col("horse_weight_text"), n.body_weight(F.col("horse_weight_text"))[0]),
+        "win": unread(F.col("win_text"), F.replace(F.col("win_text"), F.lit(","), F.lit("")).try_cast("double").isNull()),
+        "place": unread(F.col("place_text"), F.size(F.split("place_text", "-")) != 2),
+        "wide": n.combination(F.col("wide_key_text"), 2).isNull(),
+        "trio": n.combination(F.col("trio_key_text"), 3).isNull(),
+    }
+    bad = rows.select("race_id", F.explode(F.array_compact(F.array(*[F.when(c, part) for part, c in cannot.items()]))).alias("reason"))
+    good, out = accept(t.race.select("race_id"), bad.union(race.where(missing).select("race_id", F.lit("race"))))
+    both = good.select("race_id", F.array().cast("array<string>").alias("r"), F.lit(True).alias("accepted")).union(out.select("race_id", "reasons", F.lit(False)))
+    return both.select("race_id", "accepted", F.array_join(F.array_sort("r"), ",").alias("reasons"))
 
 
 META = "concat(lpad(CAST(10 + horse_number % 8 AS {s}), 2, '0'), ':', '05発走 / ', CASE WHEN gate % 2 = 0 THEN '芝' ELSE 'ダ' END, CAST(1000 + 100 * gate AS {s}), 'm (', CASE WHEN gate % 3 = 0 THEN '左' ELSE '右' END, ' ', CASE WHEN gate = 1 THEN '外' ELSE '' END, ' A) / 天候:', CASE WHEN gate > 4 THEN '小雨' ELSE '晴' END, ' / 馬場:稍')"
@@ -145,9 +169,18 @@ def text_race_meta(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)) AS link FROM pages)""")
+#: Links of the kinds that pages of results and lists hold, made of each page's own number and set before its HTML.
+LINKS = "concat('<a href=\"/race/2024', lpad(CAST(page_id % 97 AS {s}), 8, '0'), '/\">r</a><a class=x href=\"/race/2024', lpad(CAST(page_id % 89 AS {s}), 8, '0'), '\">r</a><a href=\"/horse/', CAST(page_id % 31 AS {s}), 'h\">h</a><a href=\"/list?p=1&kaisai_date=202402', lpad(CAST(1 + page_id % 31 AS {s}), 2, '0'), '\">d</a>', coalesce(html, ''))"
+
+
+@query(f"""SELECT DISTINCT page_id, kind, CASE WHEN kind <> 'date' THEN id WHEN try_strptime(id, '%Y%m%d') IS NOT NULL THEN strftime(try_strptime(id, '%Y%m%d'), '%Y-%m-%d') END AS id FROM (SELECT page_id, kind, unnest(regexp_extract_all(h, p, 1)) AS id FROM (SELECT page_id, {LINKS.format(s='VARCHAR')} AS h FROM pages), (VALUES ('race', 'href="/race/([0-9]{{12}})'), ('horse', 'href="[^"]*/horse/([0-9A-Za-z]+)'), ('date', 'href="[^"]*[?&]kaisai_date=([0-9]{{8}})(?:[^0-9"]|")')) v(kind, p)) WHERE kind <> 'date' OR try_strptime(id, '%Y%m%d') IS NOT NULL""")
 def text_link_ids(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))).alias("link")).dropDuplicates()
+    """Race ids of twelve digits, horse ids and listed dates in a page's links, each once; a date that isn't one is left out."""
+    html = F.expr(LINKS.format(s="STRING"))
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(html, F.lit(p), F.lit(1)).alias("ids")) for k, p in n.LINK_IDS.items()])
+    each = t.pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.kind", F.explode("x.ids").alias("id"))
+    day = F.date_format(F.try_to_timestamp("id", F.lit("yyyyMMdd")), "yyyy-MM-dd")
+    return each.select("page_id", "kind", F.when(F.col("kind") == "date", day).otherwise(F.col("id")).alias("id")).where("id IS NOT NULL").dropDuplicates()
 
 
 @query("""SELECT race_id, regexp_full_match(race_id, '[0-9]{12}') AND CAST(substr(race_id, 5, 2) AS INT) BETWEEN 1 AND 10 AS valid FROM (SELECT '2024' || lpad(CAST(o_orderkey % 14 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS race_id FROM orders)""")

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.operators import base
 from paddock.operators import rules as r
 from paddock.operators.rules import Rule
 from paddock.operators.search import candidate_rules
 from paddock.operators.search import rule_search as searched
+from paddock.operators.splits import split_ratio
+from paddock.plans.datasets import BASE
 from paddock.plans.registry import query
 from paddock.sources.adapter import Tables
+from paddock.sources.scratch import kept
 
 PCTS = ("hit_pct", "return_min_pct", "return_mid_pct", "return_max_pct")
 SUMS = "count(DISTINCT race_id) AS races, count(*) AS selections, CAST(coalesce(sum(target_top3), 0) AS BIGINT) AS hits, round(100.0 * sum(target_top3) / nullif(count(*), 0), 6) AS hit_pct, " + ", ".join(f"round(100.0::DOUBLE * sum(target_top3 * place_odds_{k}) / nullif(count(*), 0), 6) AS return_{k}_pct" for k in ("min", "mid", "max"))
@@ -38,7 +43,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def condition(rule: Rule) -> str:
     """The rule as SQL text."""
-    parts = [f"{c} {op} {v}" for c, op, v in (("pred_top3", ">=", rule.pred_min), ("place_odds_mid", ">=", rule.odds_min), ("place_odds_mid", "<", rule.odds_max), ("distance", ">=", rule.distance_min), ("distance", "<", rule.distance_max), ("surface_id", "=", rule.surface_id), ("pred_rank", "<=", rule.pred_rank_max), ("expected_value_mid", ">=", rule.ev_mid_min)) if v is not None]
+    parts = [f"{c} {op} {v}" for c, op, v in (("pred_top3", ">=", rule.pred_min), ("place_odds_mid", ">=", rule.odds_min), ("place_odds_mid", "<", rule.odds_max), ("distance", ">=", rule.distance_min), ("distance", "<", rule.distance_max), ("surface_id", "=", rule.surface_id), ("pred_rank", "<=", rule.pred_rank_max), ("expected_value_mid", ">=", rule.ev_mid_min), ("max_rank", "<=", rule.max_rank_max), ("min_pred", ">=", rule.min_pred_min)) if v is not None]
     if rule.include_track_ids:
         parts.append(f"track_id IN {rule.include_track_ids}")
     if rule.exclude_track_ids:
@@ -60,11 +65,18 @@ def sel_summary(t: Tables) -> DataFrame:
     return rounded(r.summary(scored(t).where("pred_top3 >= 0.4")))
 
 
-@query("SELECT 'popularity' AS score, CAST(k AS INT) AS k, count(DISTINCT race_id) AS races, CAST(sum(CASE WHEN finish <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY popularity, horse_number) AS n FROM runner) JOIN (SELECT unnest([1, 2, 3]) AS k) ON n <= k GROUP BY 2")
+#: The last fifth of the race days, without the day before it begins.
+CUT = "SELECT d FROM (SELECT date AS d, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM base)) WHERE i = greatest(1, least(n - 1, CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT)))"
+TESTED = ("tested", f"SELECT *, (place_odds_min + place_odds_max) / 2 AS place_odds_mid FROM base WHERE date >= ({CUT})")
+BASELINES = ("popularity", "place_odds_min", "place_odds_mid")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS score, CAST(k AS INT) AS k, {SUMS} FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY {c}, horse_number) AS n FROM tested WHERE {c} IS NOT NULL) JOIN (SELECT unnest([1, 2, 3]) AS k) ON n <= k GROUP BY 2" for c in BASELINES), ("base", BASE), TESTED)
 def base_topk(t: Tables) -> DataFrame:
-    df = t.runner.withColumn("target_top3", F.when(F.col("finish") <= 3, 1).otherwise(0))
-    best = r.top_k(df, "popularity", [1, 2, 3], ascending=True).groupBy("k").agg(F.countDistinct("race_id").alias("races"), F.sum("target_top3").alias("hits"))
-    return best.withColumn("score", F.lit("popularity"))
+    """The favourites by popularity and by odds, in the test period."""
+    df = base.base_rows(t.runner, t.race, t.place_odds, t.win_odds, t.horse).withColumn("place_odds_mid", (F.col("place_odds_min") + F.col("place_odds_max")) / 2)
+    tested = kept(split_ratio(df, 0.2).where("part = 'test'"))
+    return reduce(DataFrame.unionByName, [rounded(r.summary(r.top_k(tested, c, [1, 2, 3], ascending=True), "k")).withColumn("score", F.lit(c)) for c in BASELINES])
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS score, CAST(k AS INT) AS k, {SUMS} FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY {c} DESC, horse_number) AS n FROM s WHERE {c} IS NOT NULL) JOIN (SELECT unnest([1, 2, 3]) AS k) ON n <= k GROUP BY 2" for c in ("pred_top3", "expected_value_min", "expected_value_mid")), S)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.operators import ingest
 from paddock.plans.registry import query
 from paddock.sources.adapter import Tables
+from paddock.sources.scratch import folder
 
 
 @query(
@@ -53,11 +56,18 @@ def pedigree_queue(t: Tables) -> DataFrame:
     return ingest.pedigree_queue(t.horse, t.runner, 50, failed_too=True)
 
 
-@query("SELECT snapshot_id, race_id, bet_type, snapshot_at, status, CASE WHEN status = 'fetched' THEN horse_number END AS horse_number, CASE WHEN status = 'fetched' THEN odds END AS odds FROM snapshots")
+@query("SELECT race_id, bet_type, CAST(snapshot_at AS DATE) AS day, count(*) AS snapshots, count(DISTINCT (race_id, bet_type, snapshot_at)) AS snapshot_keys, count(*) FILTER (status = 'fetched') AS detail_rows, round(sum(CASE WHEN status = 'fetched' THEN odds END), 6) AS odds FROM snapshots GROUP BY 1, 2, 3")
 def snapshot_append(t: Tables) -> DataFrame:
-    """Headers of all snapshots with the detail rows of fetched ones."""
-    detail = t.snapshots.where("status = 'fetched'").select("snapshot_id", "horse_number", "odds")
-    return t.snapshots.select("snapshot_id", "race_id", "bet_type", "snapshot_at", "status").join(detail, "snapshot_id", "left")
+    """Snapshots appended to a stored table in two writes, headers of all and details of the fetched ones, read back by day."""
+    at = f"{folder(t.spark)}/snapshots-{uuid.uuid4().hex}"
+    early = F.pmod("snapshot_id", F.lit(2)) == 0
+    for part in (t.snapshots.where(early), t.snapshots.where(~early)):
+        ingest.append_snapshots(part, at)
+    header, detail = (t.spark.read.parquet(f"{at}/{name}") for name in ("header", "detail"))
+    both = header.join(detail, ["snapshot_id", "snapshot_key"], "left")
+    return both.groupBy("race_id", "bet_type", F.to_date("snapshot_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("snapshots"), F.countDistinct("snapshot_key").alias("snapshot_keys"), F.count("horse_number").alias("detail_rows"), F.round(F.sum("odds"), 6).alias("odds")
+    )
 
 
 @query("SELECT race_id FROM race WHERE race_id NOT IN (SELECT race_id FROM runner WHERE horse_number = 4)")

@@ -18,7 +18,11 @@ SELECT lpad(CAST(o_orderkey AS STRING), 12, '0') AS race_id,
   CAST(570 + 5 * (o_orderkey % 84) AS INT) AS post_time_min,
   CAST(CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 2 END AS INT) AS surface_id,
   CAST(1000 + 200 * (o_orderkey % 9) AS INT) AS distance,
-  CAST(o_orderkey % 4 AS INT) AS track_condition_id
+  CAST(o_orderkey % 4 AS INT) AS track_condition_id,
+  CAST(o_custkey % 3 AS INT) AS course_direction_id,
+  CAST(CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 2 END AS INT) AS course_layout_id,
+  CAST(CASE WHEN o_custkey % 4 > 0 THEN o_orderkey % 4 END AS INT) AS course_variant_id,
+  CAST(o_orderkey % 6 AS INT) AS weather_id
 FROM orders
 """),
     "runner_raw": (('lineitem',), """
@@ -30,6 +34,10 @@ SELECT lpad(CAST(l_orderkey AS STRING), 12, '0') AS race_id,
   CAST((l_partkey + l_suppkey) % 25 AS STRING) AS trainer_id, l_extendedprice AS price,
   CAST(1 + l_linenumber % 8 AS INT) AS gate,
   CAST(2 + l_partkey % 7 AS INT) AS age,
+  CAST(l_partkey % 3 AS INT) AS sex_id,
+  CAST(l_suppkey % 4 AS INT) AS stable_id,
+  CAST(CASE WHEN l_quantity > 2 THEN 420 + l_partkey % 90 END AS INT) AS horse_weight,
+  CAST(CASE WHEN l_quantity > 4 THEN l_suppkey % 21 - 10 END AS INT) AS horse_weight_diff,
   CAST(48 + CAST(l_quantity AS INT) % 12 AS DOUBLE) AS weight,
   CASE WHEN l_quantity > 48 THEN NULL ELSE CAST(60 AS DOUBLE) + l_quantity END AS time_sec,
   CASE WHEN l_discount = 0 THEN NULL ELSE l_discount * CAST(10 AS DOUBLE) END AS finish_diff,
