@@ -1,6 +1,7 @@
 """Each operator against a plain account of the same thing, on edge cases and on the smallest documents."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -306,13 +307,115 @@ def test_all_links_of_a_page_are_resolved(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(alias, "page_id long, url string, html string")).collect()} == {1: "block", 2: "block", 3: "block"}
 
 
+def plain_form(text):
+    """The canonical form by the standard library's expressions."""
+    form = lower(re.sub(license_scan.COPYRIGHT_LINE, "", text))
+    form = re.sub(r"(?:[^\w]|_)+", " ", form).strip()
+    for pattern, to in license_scan.EQUIVALENT:
+        form = re.sub(pattern, to.replace("$1", r"\1"), form)
+    return form.strip()
+
+
 def test_licenses(spark, empty):
-    rows = [(1, "Copyright 2020 Someone\nreleased UNDER the mit licence"), (2, "words\nLicensed under the Apache License; version 2.0!\nmore"), (3, None), (4, "MIT"), (4, "Licensed under CC BY-NC 4.0.")]
-    got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", 1, "MIT"), 2: (None, 1, "Apache-2.0"), 3: (None, 0, ""), 4: ("CC-BY-NC-4.0", 1, "CC-BY-NC-4.0")}
+    mit, isc = (license_scan.KNOWN[i][1] for i in (4, 6))
+    wrapped = "\n".join(f" * {mit[i : i + 60]}" if i else f"/* Copyright (c) 2020 Jane Doe\n * {mit[:60]}" for i in range(0, len(mit), 60))
+    rows = [
+        (1, "Copyright 2020 Someone\nreleased UNDER the mit licence"), (2, "words\nLicensed under the Apache License; version 2.0!\nmore"), (3, None), (4, "MIT"), (4, "Licensed under CC BY-NC 4.0."), (5, ""), (6, " \n\t"),
+        (7, "some code\n\n" + wrapped + " */\nint main() {}\n" + isc.upper() + " and more. Licensed under Creative Commons BY-NC 4.0"), (8, mit.replace("sublicense", "sub-licence")), (9, "Copyright 2024 A. Released under the MIT License."),
+        (10, "sand orange licencedx and/or"), (11, "word " * 20_000 + "Released under\nthe MIT licence. " + "word " * 20_000), (None, "Released under the MIT License. Released under the MIT License."), (12, "Released under the MIT License"), (12, "Released under the MIT License"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit(1), "digest": F.lit(2), "w": F.lit(3), "at": F.lit(4)})
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan_licenses(d).collect()}
+    known: dict = {}
+    for name, body in license_scan.KNOWN:
+        known.setdefault(plain_form(body), name)
+    want = {}
+    for i, t in set(rows):
+        whole, places, names = want.get(i, (None, 0, set()))
+        form = plain_form(t or "")
+        w = form.split()
+        for at in range(len(w)):
+            here = {n for f, n in known.items() if w[at : at + f.count(" ") + 1] == f.split()}
+            places, names = places + bool(here), names | here
+        want[i] = (known.get(form, whole), places, names)
+    assert got == {i: (whole, places, ",".join(sorted(names))) for i, (whole, places, names) in want.items()}
+    assert got[7] == (None, 3, "CC-BY-NC-4.0,ISC,MIT") and got[8][0] == got[9][0] == "MIT" and got[10] == (None, 0, "") and got[None][1] == 2
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_files(spark):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence files here")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows = [(f, open(f"{folder}/{f}").read()) for f in names if os.path.exists(f"{folder}/{f}")]
+    longer = [(f"in {f}", f"before\n{t}\nafter") for f, t in rows]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows + longer, "doc_id string, text string")).collect()}
+    assert all(got[f].whole_license == names[f] and got[f"in {f}"].whole_license is None and names[f] in got[f"in {f}"].licenses for f, _ in rows)
+
+
+def test_candidates_and_features_equal_a_plain_account(spark, docs):
+    """Candidates of every word, and the features that don't depend on the dictionary, by loops over the texts."""
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(7000, 'a "k1":"abcdefghijklmnop12","k2":"QRSTuvwx/0123456789" end'), (7001, "x " * 50_000 + "token=ABCDEFGHIJ0123456789"), (7001, "sha1 " + "0a" * 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"candidate": F.lit(1), "at": F.lit(2), "word": F.lit("x")})
+    found = secrets.featured(secrets.candidates(d), [])
+    got = Counter((r.doc_id, r["at"], r.candidate, r.length, round(r.changes, 9), round(r.digits, 9), round(r.upper, 9), r.letters_only, r.hex_only, round(r.distinct, 9), r.announced) for r in found.collect())
+    want = Counter()
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for at, word in enumerate(w):
+            runs = re.findall("[A-Za-z0-9+/_-]{16,}", word)
+            leads = re.split("[A-Za-z0-9+/_-]{16,}", word)
+            for k, c in enumerate(runs):
+                before2, before = ((w[at - 2] if at > 1 else ""), (w[at - 1] if at else "")) if k == 0 else ("", runs[k - 1])
+                beside = " ".join([before2, before, leads[k]]).lower()
+                changes = (len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", c)) - 1) / len(c)
+                share = lambda p, c=c: len(re.findall(p, c)) / len(c)
+                want[i, at, c, float(len(c)), round(changes, 9), round(share("[0-9]"), 9), round(share("[A-Z]"), 9), float(bool(re.fullmatch("[A-Za-z]+", c))), float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c))), round(len(set(c)) / len(c), 9), float(bool(re.search(secrets.ANNOUNCES, beside)))] += 1
+    assert got == want and len(want) > 3
+
+
+def test_forest_on_held_out_findings(spark, docs):
+    r = secrets.held_out_report(secrets.candidates(docs)).first()
+    assert r.tp + r.fn > 20 and r.fp + r.tn > 20 and r.precision > 0.95 and r.recall > 0.95
+
+
+def test_repeated_ids_lose_no_link(spark):
+    """An id with several texts is one document that reaches what any of them reaches."""
+    long = lambda n, x="": " ".join(f"w{n}x{i}" for i in range(40)) + x
+    rows = [(5, long(1)), (3, long(1)), (5, long(2)), (7, long(2, " more")), (9, long(3)), (9, ""), (11, long(3, " z")), (None, long(4)), (12, long(4, " y")), (None, long(6)), (13, "one"), (13, "one")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "component": F.lit(2), "n": F.lit(3), "print": F.lit(4)})
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect())
+    assert got == Counter([(5, 3, False), (3, 3, True), (5, 3, False), (7, 3, False), (9, 9, True), (9, 9, True), (11, 9, False), (None, 12, False), (12, 12, True), (None, None, True), (13, 13, True), (13, 13, True)])
+
+
+def test_redirects_and_edge_cases_of_the_url_filter(spark):
+    """Chains of redirects given as a table against a plain walk over links; null, empty, repeated and clashing rows."""
+    urls = [f"https://h{i}.org/p{i % 3}" for i in range(40)] + ["https://bad.net/es/1", "https://x.com/ok", "https://bad.net/fr/2"]
+    draw = np.random.default_rng(3)
+    links = [(urls[a], urls[b]) for a, b in draw.integers(0, len(urls), (34, 2))] + [(None, urls[0]), (urls[1], None), (urls[2], "no scheme")]
+    pages = [(i, u, None) for i, u in enumerate(urls)] + [(0, urls[0], ""), (90, None, None), (91, "", "")]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"node": F.lit(1), "own": F.lit(2), "target": F.lit(3), "component": F.lit(4)})
+    r = spark.createDataFrame(links, "url string, target string")
+    near = defaultdict(set)
+    for a, b in links:
+        if a and b and "://" in b:
+            near[a].add(b), near[b].add(a)
+    got = Counter((x.page_id, x.verdict) for x in url_filter.judge_urls(d, redirects=r).collect())
+    want = Counter()
+    for i, u, _ in pages:
+        seen, todo = set(), [u] if u else []
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near[x]
+        want[i, "allow" if u and ".com/" in u else "block" if any("bad.net" in x for x in seen) else "allow"] += 1
+    assert got == want and 5 < sum(n for (_, v), n in want.items() if v == "block") < 43
+    none = d.where("false")
+    assert url_filter.judge_urls(none, redirects=r).count() == 0
+
+
 def test_pipeline_keeps_only_what_each_stage_keeps(spark):
     import corpus_pipeline
 
@@ -327,3 +430,26 @@ def test_pipeline_keeps_only_what_each_stage_keeps(spark):
     assert set(kept[2]) == {i for i, (_, c) in parts.items() if i == c}
     assert set(kept[3]) == set(kept[2]) and not any(re.search("[0-9a-f]{40}", t) for t in kept[3].values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == set(kept[3])
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, and clashing columns in every stage; empty tables go through all of them."""
+    import corpus_pipeline
+
+    base = " ".join(f"word{i} and" for i in range(60))
+    rows = [(5, "Dup text"), (9, "dup TEXT"), (5, "other text of the same id"), (9, "dup TEXT"), (None, "lonely text without an id"), (None, None), (20, ""), (21, base), (22, base + " end"), (21, "a second text of id 21"), (None, f'token = "{hashlib.sha1(b"x").hexdigest()}" here'), (23, f'secret: "{hashlib.sha1(b"y").hexdigest()}"')]
+    names = ("__id", "__key", "__own", "print", "key", "kept", "score", "node")
+    d = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(n) for n in names if not n.startswith("__")})
+    one = Counter((r.doc_id, r.text) for r in corpus_pipeline.without_copies(spark, d, DATA).collect())
+    assert one == Counter([(9, "dup TEXT"), *((i, t) for i, t in rows if lower(t) != "dup text" and (i, t) != (None, None))]) and one[5, "Dup text"] == 0
+    two = Counter((r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, d, DATA).collect())
+    assert two[22, base + " end"] == 0 and two[21, base] == 1 and two[21, "a second text of id 21"] == 1 and two[None, None] == 1
+    three = corpus_pipeline.without_secrets(spark, d, DATA)
+    assert three.columns == d.columns and three.count() == len(rows) and three.where(F.col("text").rlike("[0-9a-f]{40}")).count() == 0
+    kept = corpus_pipeline.good_quality(spark, d, DATA)
+    assert kept.columns == d.columns
+    packed = corpus_pipeline.packed(spark, d, DATA)
+    assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    none = d.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, DATA).count() == 0
