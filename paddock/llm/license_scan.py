@@ -150,7 +150,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     word = text.where(ascii_lower(F.col("text")).rlike(marks)).select("doc_id", F.xxhash64("text").alias("row"), F.split(canonical(F.col("text")), " ").alias("w"))
     pair = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))
     at = word.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.map_contains_key(lengths, pair(i))))
-    one = at.select("doc_id", "row", "w", F.explode("at").alias("at")).select("doc_id", "row", "w", "at", F.explode(F.try_element_at(lengths, pair(F.col("at")))).alias("n")).where("at + n <= size(w)")
+    # explode_outer, since the filter that explode implies would be pushed down and make the form again for each word.
+    one = at.select("doc_id", "row", "w", F.explode_outer("at").alias("at")).select("doc_id", "row", "w", "at", F.explode_outer(F.try_element_at(lengths, pair(F.col("at")))).alias("n")).where("at + n <= size(w)")
     run = one.select("doc_id", "row", "at", ((F.col("at") == 0) & (F.col("n") == F.size("w"))).alias("whole"), F.sha2(F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " "), 256).alias("digest"))
     table = docs.sparkSession.createDataFrame([(r.digest, r.license) for r in rows], "digest string, license string")
     found = run.join(F.broadcast(table), "digest")
