@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators import history
@@ -11,6 +11,12 @@ from paddock.operators.relative import relative, specs
 #: Names that training data may not hold: they are known only at or after the post.
 LEAKS = ("popularity", "odds")
 KEYS = ["race_id", "horse_number"]
+# Columns of the training dataset besides the history, the label last.
+TRAINED = [
+    "race_id", "date", "track_id", "race_number", "post_time_min", "surface_id", "distance", "course_direction_id", "course_layout_id", "course_variant_id", "weather_id", "track_condition_id", "race_size", "gate", "horse_number",
+    "horse_id", "horse_name", "sex_id", "age", "jockey_id", "weight", "stable_id", "trainer_id", "target_top3",
+]
+PEDIGREE = ["sire_id", "dam_id", "broodmare_sire_id", "pedigree_available"]
 RAW_RELATIVE = ["gate", "horse_number", "weight", "age"]
 
 
@@ -35,14 +41,15 @@ def win_odds_as_place(df: DataFrame) -> DataFrame:
 
 def training(base: DataFrame, with_history: bool = True) -> DataFrame:
     """Keys, label, race and runner columns, and, if wanted, history with its race-relative twins; of live rows alone if there are some."""
-    own = ["race_id", "date", "horse_number", "target_top3", "track_id", "surface_id", "distance", "track_condition_id", "gate", "age", "weight", "horse_id", "jockey_id", "trainer_id", "sire_id", "dam_id", "broodmare_sire_id", "pedigree_available"]
+    own = [*TRAINED[:-1], *PEDIGREE, TRAINED[-1]]
+    size = F.count(F.lit(1)).over(Window.partitionBy("race_id")).cast("int")
     if not with_history:
-        return base.select(*own)
+        return base.withColumn("race_size", size).select(*own)
     df = history.all_history(base)
     df = df.where(history.LIVE) if history.LIVE in df.columns else df
-    made = [c for c in df.columns if "_past_" in c or "_recent" in c or c.startswith(("horse_distance_", "horse_weight_", "horse_days_"))]
+    made = [c for c in df.columns if c not in base.columns and ("_past_" in c or "_recent" in c or c.startswith(("horse_distance_", "horse_weight_", "horse_days_")))]
     numeric = [c for c in made if not c.endswith(("_starts", "_top3"))] + RAW_RELATIVE
-    return relative(df.select(*own, *[c for c in made if c not in own]), specs(numeric))
+    return relative(df.withColumn("race_size", size).select(*own, *made), specs(numeric))
 
 
 def guard(df: DataFrame) -> DataFrame:

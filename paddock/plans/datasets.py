@@ -54,7 +54,7 @@ def ds_training(t: Tables) -> DataFrame:
     return base.guard(base.training(kept(rows(t))))
 
 
-@query("SELECT race_id, horse_number, gate, age, weight, horse_id, target_top3 FROM base", B)
+@query("SELECT race_id, race_number, post_time_min, course_direction_id, course_layout_id, course_variant_id, weather_id, CAST(count(*) OVER (PARTITION BY race_id) AS INT) AS race_size, gate, horse_number, horse_id, horse_name, sex_id, age, weight, stable_id, target_top3 FROM base", B)
 def ds_training_plain(t: Tables) -> DataFrame:
     df = base.drop_patterns(base.training(rows(t), with_history=False), ["sire", "pedigree", "track", "surface", "distance", "date", "jockey", "trainer", "dam"])
     return base.guard(df)
