@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -154,6 +155,24 @@ def test_classifier_on_held_out_rows(spark, empty):
     assert classifier.keep_good(d, model).columns == d.columns
 
 
+def test_classifier_on_awkward_rows(spark):
+    """Null, empty and blank texts get one prior; equal rows equal scores; an id with several texts or labels is learned once and alike."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, " \n"), (9004, "one"), (9004, "one"), (None, "two"), (9005, "long " * 50_000)], "doc_id long, text string")
+    clash = {n: F.lit("x") for n in ("label", "score", "of", "id", "weight", "held_out", "predicted")}
+    both = d.union(odd).union(d.limit(20).withColumn("text", F.concat("text", F.lit(" more")))).withColumns(clash)
+    twice = labels.union(labels.limit(10)).withColumns({"text": F.lit("x"), "score": F.lit(1)})
+    models = [classifier.fit(both.repartition(n), twice) for n in (1, 5)]
+    assert models[0].bias == models[1].bias and np.array_equal(models[0].weight, models[1].weight)
+    got = [(r.doc_id, r.held_out, r.score, r.predicted) for r in classifier.score(both, models[0]).collect()]
+    assert len(got) == both.count() and all(0 <= s <= 1 and p == (s >= 0.5) for _, _, s, p in got)
+    by = defaultdict(set)
+    for i, _, s, _ in got:
+        by[i].add(s)
+    assert by[9001] == by[9002] == by[9003] and len(by[9001]) == len(by[9004]) == len(by[9005]) == 1
+
+
 def sets(text, n):
     w = re.findall(rb"[^\x20\x09-\x0d]+", lower(text).encode())
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -318,7 +337,7 @@ def plain_form(text):
 
 def test_licenses(spark, empty):
     mit, isc = (license_scan.KNOWN[i][1] for i in (4, 6))
-    wrapped = "\n".join(f" * {mit[i : i + 60]}" if i else f"/* Copyright (c) 2020 Jane Doe\n * {mit[:60]}" for i in range(0, len(mit), 60))
+    wrapped = "/* Copyright (c) 2020 Jane Doe\n" + "\n".join(f" * {line}" for line in textwrap.wrap(mit, 60))
     rows = [
         (1, "Copyright 2020 Someone\nreleased UNDER the mit licence"), (2, "words\nLicensed under the Apache License; version 2.0!\nmore"), (3, None), (4, "MIT"), (4, "Licensed under CC BY-NC 4.0."), (5, ""), (6, " \n\t"),
         (7, "some code\n\n" + wrapped + " */\nint main() {}\n" + isc.upper() + " and more. Licensed under Creative Commons BY-NC 4.0"), (8, mit.replace("sublicense", "sub-licence")), (9, "Copyright 2024 A. Released under the MIT License."),
