@@ -7,7 +7,7 @@ a trie and one depth-first walk hands these states from prefix to longer prefix;
 that many words share is worked out once. The trie holds the new words of one slice of texts,
 and states of one path only.
 
-Spark deals out the documents; each worker keeps a bounded memory of words it has encoded.
+Spark deals out the documents; each task keeps a bounded memory of words it has encoded.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from paddock.llm.common import slices, texts
 
-#: Pieces that a worker remembers; more are held only while one slice of texts needs them.
+#: Pieces that a task remembers; more are held only while one slice of texts needs them.
 KEPT_PIECES = 400_000
 END = "</w>"
 ONE = [1]
@@ -223,20 +222,9 @@ class TrieIds(PieceIds):
         return ([number[t] for t in tokens[w]] for w in words)
 
 
-@lru_cache(maxsize=1)
-def trie_ids(path: str) -> TrieIds:
-    """One for each worker process, which keeps its pieces from task to task."""
-    return TrieIds(path)
-
-
-@lru_cache(maxsize=1)
-def piece_ids(path: str) -> PieceIds:
-    return PieceIds(path)
-
-
 def encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = trie_ids(path)
+        codec = TrieIds(path)
         sha = lambda table, ids: hashlib.sha256(b"".join(map(table.__getitem__, ids))[:-1]).hexdigest()
         for batch in batches:
             for part in slices(batch):

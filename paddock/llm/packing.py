@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.bpe import piece_ids
+from paddock.llm.bpe import PieceIds
 from paddock.llm.common import durable, slices, texts
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task, seen = piece_ids(path), TaskContext.get().partitionId(), {}
+        codec, task, seen = PieceIds(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             for part in slices(batch):
                 owner, rows = [], []
