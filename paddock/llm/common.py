@@ -17,7 +17,7 @@ LOWER = UPPER.lower()
 #: The white space that separates words: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that a task holds as Python strings at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,7 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as Parquet in the shared folder: smaller than a checkpoint, and Spark knows its size when it chooses a join."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 5
 SMALL = 12
 OUTER_BLOCK, INNER_BLOCK = 100_000, 400_000
 FAN = 1_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 BLOCK = 1 << 15
 PACKED_BYTES = 1_000_000
 WORD = re.compile(rb"[^ \t-\r]+")

@@ -32,6 +32,8 @@ CAPACITY = 2048
 #: A rest is kept whole if its class's bins are filled to this share, or if it is shorter than capacity / LAST_CLASS.
 FILL = 0.985
 LAST_CLASS = 32
+#: Distinct pieces that a task remembers.
+KEPT_PIECES = 250_000
 END_ID = 1
 
 
@@ -51,7 +53,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task, seen = PieceIds(path), TaskContext.get().partitionId(), {}
+        codec, task, seen = PieceIds(path, KEPT_PIECES), TaskContext.get().partitionId(), {}
         for batch in batches:
             for part in slices(batch):
                 owner, rows = [], []
