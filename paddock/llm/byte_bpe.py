@@ -7,7 +7,9 @@ state follows from the stored ones alone. Text can then be appended exactly, and
 an edit only the pieces near it are worked out again, from the prefix that stayed.
 
 Ranks are bytes to numbers, as in rank files: two neighbours merge when their joint bytes
-have a rank, the lowest first, the leftmost of equals first.
+have a rank, the lowest first, the leftmost of equals first. A token is made of tokens of
+lower rank, as in every learned list of merges; one that merging can't make so is used
+only where it is a whole piece.
 """
 
 from __future__ import annotations

