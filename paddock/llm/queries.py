@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import bpe, byte_bpe, classifier, exact_dedup, license_scan, minhash, packing, quality_rules, secrets, suffix_dedup, url_filter
+from paddock.llm import bpe, byte_bpe, classifier, exact_dedup, license_scan, minhash, packing, period_runs, quality_rules, secrets, suffix_dedup, url_filter
 from paddock.llm.common import UPPER, read_table
 
 
@@ -55,13 +55,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.find_runs(read_table(spark, sf_dir, "documents"), rewrite=period_runs.repeat_tails)
+    return period_runs.digests(found)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op9_suffix_dedup, op10_quality_rules, op12_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op9_suffix_dedup, op10_quality_rules, op11_period_runs, op12_byte_bpe)}
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 BLANK = "[^\\x20\\x09-\\x0D]"
 
