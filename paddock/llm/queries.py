@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import bpe, byte_bpe, classifier, exact_dedup, license_scan, minhash, packing, period_runs, quality_rules, secrets, suffix_dedup, url_filter
+from paddock.llm import bpe, byte_bpe, classifier, exact_dedup, license_scan, minhash, packing, period_runs, quality_rules, secrets, spelling, suffix_dedup, url_filter
 from paddock.llm.common import UPPER, read_table
 
 
@@ -66,7 +66,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op9_suffix_dedup, op10_quality_rules, op11_period_runs, op12_byte_bpe)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"), slips=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filter, op4_exact_dedup, op5_license_scan, op6_minhash_dedup, op7_bpe, op8_secret_scan, op9_suffix_dedup, op10_quality_rules, op11_period_runs, op12_byte_bpe, op13_spelling_variants)}
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 BLANK = "[^\\x20\\x09-\\x0D]"
 
