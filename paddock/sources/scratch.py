@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,10 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as Parquet in the shared folder: later reads take only the columns they need."""
+    at = f"{folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
