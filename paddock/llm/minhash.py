@@ -222,11 +222,12 @@ def linked(body: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(comparer(size, percent), "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, tie: bool = True) -> DataFrame:
     """(doc_id, print, n_shingles, component_id, kept, stays), one row per row of ``docs``; see ``near_duplicates``.
 
     ``print`` is the hash of the text as it came; ``stays`` marks one of the rows of each
-    component, that of the least doc_id. Inside, a row is named by a number that the first
+    component, that of the least doc_id. With ``tie``, rows of one doc_id are one document,
+    and tie what each of them is linked with; else only texts link rows. Inside, a row is named by a number that the first
     stored table gives it, and a node is the least such number of the rows with equal sets.
     """
     doc = printed(docs, id_col, text_col)
@@ -245,11 +246,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = member.join(held.select("node").distinct(), "node", "left_semi").where("rid = node").select(F.col("doc_id").alias("id"), F.col("print").alias("p"), "node")
     whole = pack_texts(doc)
     body = stored(whole.join(some, whole.doc_id.eqNullSafe(F.col("id")) & (whole.print == F.col("p"))).select("node", "packed"))
-    # An id with several texts ties their classes.
-    ids = member.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
-    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(F.col("doc_id").alias("id"), "a")
-    tied = ids.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("node").alias("b"))
-    edges = durable(linked(body, tried, size, percent).unionByName(tied))
+    edges = linked(body, tried, size, percent)
+    if tie:
+        edges = edges.unionByName(tied_by_id(member))
+    edges = durable(edges)
     label = durable(components(edges))
     live = with_component(held.select("key", "node", "n"), label)
     state = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
@@ -274,6 +274,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "print", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), (F.col("rid") == F.col("least.rid")).alias("stays"))
 
 
+def tied_by_id(member: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of the texts of one doc_id."""
+    ids = member.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(F.col("doc_id").alias("id"), "a")
+    return ids.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 

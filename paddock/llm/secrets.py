@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm.common import ascii_lower, durable, stored, texts, words
@@ -22,8 +22,12 @@ PART = "[^\"'`,;|?&=<>(){}\\[\\]]*"
 #: Words that announce a secret, and words that announce another kind of long string.
 ANNOUNCES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
 DENIES = "sha|md5|commit|checksum|hash|digest|uuid|guid|example|sample|dummy|placeholder|version"
-#: Places of findings that labelled examples are planted at, and of these, one in HELD_OUT is kept from training.
+#: Places of findings that labelled examples are planted at; the report keeps one in HELD_OUT of them, by rank, from training.
 SAMPLE_PLACES, HELD_OUT = 400, 4
+#: Neutral words for places of our own, so that a table with few findings has enough; as many as these, each with its neighbours.
+NEUTRAL = "the of and to in is was for on with as by at from this that it be are or an not have has had were been will would can".split()
+#: What can stand next to a candidate inside a longer one.
+INSIDE = "[A-Za-z0-9+/_-]"
 #: Dictionary words make up at least one in so many of the plain words beside candidates, so there are never more of them than that.
 SHARE_OF_WORDS = 1_000
 TREES, DEPTH, SEED = 20, 6, 7
@@ -99,13 +103,17 @@ def featured(found: DataFrame, known: list[str]) -> DataFrame:
 def planted_texts(found: DataFrame, places: int = SAMPLE_PLACES) -> DataFrame:
     """(place, held_out, text, value, label): labelled examples, each a value of a known form among the words beside a finding.
 
-    The places are chosen by hash of these words. Label 1: keys and tokens of usual forms,
+    The places are chosen by hash of these words; neutral places are added to them, whatever
+    the table holds. One in HELD_OUT, by the places' rank, is marked for the report. Label 1: keys and tokens of usual forms,
     assigned, announced or bare. Label 0: what looks like them, such as digests, identifiers,
     paths, numbers, long words and placeholders. Values are made of the place's own hash.
     """
     words = F.concat_ws(" ", *NEAR)
-    place = found.select(*NEAR, F.xxhash64(words).alias("place")).distinct().orderBy("place").limit(places)
-    place = place.withColumn("held_out", F.pmod("place", F.lit(HELD_OUT)) == 0)
+    neutral = found.sparkSession.createDataFrame([*zip(NEUTRAL, NEUTRAL[1:], NEUTRAL[2:])], ", ".join(f"{c} string" for c in NEAR))
+    own = found.select(*NEAR, F.xxhash64(words).alias("place")).distinct().orderBy("place").limit(places)
+    place = own.union(neutral.select(*NEAR, F.xxhash64(words).alias("place")))
+    # The places are no more than a parameter, so one task ranks them.
+    place = place.withColumn("held_out", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place", *NEAR)) % HELD_OUT == 0)
 
     def hexes(form: str, n: int) -> Column:
         return F.left(F.sha2(F.concat(F.lit(form), F.col("place").cast("string")), 512), F.lit(n))
@@ -150,11 +158,11 @@ def planted_findings(found: DataFrame, known: list[str], places: int = SAMPLE_PL
     return judged.where(holds).select(*FEATURES, F.col("own.label").alias("label"), F.col("own.held_out").alias("held_out"))
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
-    """A forest on labelled findings, in an order that doesn't depend on how they were dealt; None if one label is missing."""
+def train(labelled: DataFrame) -> RandomForestClassificationModel:
+    """A forest on labelled findings, in an order that doesn't depend on how they were dealt; an error if one label is missing."""
     rows = durable(labelled.select(*FEATURES, "label").orderBy("label", *FEATURES).coalesce(1))
     if rows.select("label").distinct().count() < 2:
-        return None
+        raise ValueError("labelled findings must hold both labels")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=1.0).fit(ready)
 
@@ -178,7 +186,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, at, candidate, score, is_secret), one row per candidate of every row of ``docs``.
 
     ``labelled`` may give labelled findings with the columns of FEATURES and label, of both
-    labels; else they are planted (``planted_texts``). ``at`` is the word's place in the text,
+    labels (an error otherwise); else they are planted, and the forest learns from all of them
+    (``planted_texts``). ``at`` is the word's place in the text,
     the same for all candidates of a word. Null and empty texts have no candidate; repeated
     rows give theirs each, and a table without candidates, or an empty one, gives an empty result.
     """
@@ -186,20 +195,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = dictionary(found)
     rows = featured(found, known)
     if labelled is None:
-        labelled = durable(planted_findings(found, known)).where("NOT held_out")
-    forest = train(labelled)
-    judged = rows.withColumn("score", F.lit(0.0)) if forest is None else scored(rows, forest)
+        labelled = planted_findings(found, known)
+    judged = scored(rows, train(labelled))
     return judged.select("doc_id", F.col("at").cast("long").alias("at"), "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with every secret among the findings of its doc_id replaced by ``mark``; all other columns stay.
 
-    A null doc_id counts as a value: its rows share their findings.
+    A secret goes wherever it stands as a whole candidate of the text, not where it is part
+    of a longer one. A null doc_id counts as a value: its rows share their findings.
     """
     own = findings.where("is_secret").select("doc_id", "candidate").distinct()
     # Stored, so that Spark knows how small the table is and needn't deal out all texts.
     per_doc = stored(own.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("__secrets")))
     joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("__of")), "left")
-    clean = F.aggregate("__secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mark)))
+    whole = lambda s: F.concat(F.lit(f"(?<!{INSIDE})\\Q"), s, F.lit(f"\\E(?!{INSIDE})"))
+    clean = F.aggregate("__secrets", F.col(text_col), lambda t, s: F.regexp_replace(t, whole(s), F.lit(mark)))
     return joined.select(*[F.coalesce(clean, F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

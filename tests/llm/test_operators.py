@@ -472,3 +472,30 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     none = d.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, DATA).count() == 0
+
+
+def test_secrets_of_small_tables_are_found(spark):
+    """Each of 24 tables of one row finds its secret, whatever the words beside it."""
+    from hashlib import sha1
+
+    for i in range(0, 24, 3):
+        secret = sha1(str(i).encode()).hexdigest()
+        d = spark.createDataFrame([(1, f"item {i} password: {secret} tail{i} here")], "doc_id long, text string")
+        found = secrets.scan_secrets(d).collect()
+        assert [r.candidate for r in found if r.is_secret] == [secret], (i, found)
+
+
+def test_labelled_findings_of_one_kind_are_an_error(spark):
+    d = spark.createDataFrame([(1, "password: " + "0a1b" * 10)], "doc_id long, text string")
+    one = secrets.featured(secrets.candidates(d), []).withColumn("label", F.lit(1.0))
+    for labelled in (one, one.where("false")):
+        with pytest.raises(ValueError, match="both labels"):
+            secrets.scan_secrets(d, labelled=labelled)
+
+
+def test_a_secret_inside_a_longer_string_stays(spark):
+    secret = "a1b2c3d4e5f6a7b8c9d0"
+    d = spark.createDataFrame([(1, f"token={secret} see /data/{secret}/x and {secret}{secret} '{secret}'"), (2, secret), (None, secret)], "doc_id long, text string")
+    findings = spark.createDataFrame([(1, secret, True), (2, secret, False), (None, secret, True)], "doc_id long, candidate string, is_secret boolean")
+    got = {r.doc_id: r.text for r in secrets.redact(d, findings).collect()}
+    assert got == {1: f"token=<secret> see /data/{secret}/x and {secret}{secret} '<secret>'", 2: secret, None: "<secret>"}
