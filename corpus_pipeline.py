@@ -43,8 +43,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the least doc_id, of each component of near duplicates (five words, 0.8); a row goes by its id and its text, so rows that repeat both stay together."""
-    judged = minhash.near_classes(docs)
+    """One row, of the least doc_id, of each component of near duplicate texts (five words, 0.8). Only texts link rows, not a shared id; a row goes by its id and its text, so rows that repeat both stay together."""
+    judged = minhash.near_classes(docs, tie=False)
     gone = stored(judged.groupBy("doc_id", F.col("print").alias("key")).agg(F.max("stays").alias("stays")).where("NOT stays"))
     return without(docs, gone, text_print(F.col("text")))
 
