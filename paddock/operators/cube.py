@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.rules import pct
 from paddock.operators.search import DISTANCES, ODDS, PREDS, SURFACES
 from paddock.sources.scratch import saved
 
@@ -146,6 +145,11 @@ def races_of(df: DataFrame, dims: list[Dimension], rules: DataFrame) -> DataFram
     return met.select("rule", "race_id").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("races"))
 
 
+def percent(money: Column, n: Column) -> Column:
+    """100 * money / n, ``money`` in whole units, rounded to six places in whole numbers, so that it is the same however sums were dealt."""
+    return F.call_function("div", 200 * money + n, 2 * n) / UNIT
+
+
 def search(df: DataFrame, dims: list[Dimension], min_selections: int = 100, min_fold_selections: int = 10, min_fold_return: float | None = None, buy_rate: tuple[float | None, float | None] = (None, None), top: int | None = 20) -> DataFrame:
     """The rules with rows in every fold that pass the gates, the best return first: their fields, rule_key, races, selections, hits, and percentages.
 
@@ -155,8 +159,8 @@ def search(df: DataFrame, dims: list[Dimension], min_selections: int = 100, min_
     pass the other gates, else only for the ``top`` ones (None: all).
     """
     folds = df.select("fold").where("fold IS NOT NULL").distinct().count()
-    ret = lambda money, n: pct(F.col(money) / UNIT, F.col(n))
-    per_fold = rule_sums(df.where("fold IS NOT NULL"), dims).withColumn("ret", ret("paid_mid", "selections"))
+    ret = lambda money: percent(F.col(money), F.col("selections"))
+    per_fold = rule_sums(df.where("fold IS NOT NULL"), dims).withColumn("ret", ret("paid_mid"))
     out = per_fold.groupBy("rule").agg(
         F.count(F.lit(1)).alias("folds"), *[F.sum(c).alias(c) for c in ("selections", "hits", *MONEY)],
         F.min("ret").alias("min_fold_return_mid_pct"), F.max("ret").alias("max_fold_return_mid_pct"), F.min("selections").alias("min_fold_selections"),
@@ -164,14 +168,14 @@ def search(df: DataFrame, dims: list[Dimension], min_selections: int = 100, min_
     out = out.where((F.col("folds") == folds) & (F.col("selections") >= min_selections) & (F.col("min_fold_selections") >= min_fold_selections))
     if min_fold_return is not None:
         out = out.where(F.col("min_fold_return_mid_pct") >= min_fold_return)
-    out = out.withColumns({"hit_rate_pct": pct(F.col("hits"), F.col("selections")), **{f"return_{m}_pct": ret(f"paid_{m}", "selections") for m in ("min", "mid", "max")}})
+    out = out.withColumns({"hit_rate_pct": percent(F.col("hits") * UNIT, F.col("selections")), **{f"return_{m}_pct": ret(f"paid_{m}") for m in ("min", "mid", "max")}})
     order = [F.desc("return_mid_pct"), F.desc("min_fold_return_mid_pct"), F.desc("selections"), "rule"]
     gated = buy_rate != (None, None)
     if top is not None and not gated:
         out = out.orderBy(*order).limit(top)
     out = saved(out.drop("folds", *MONEY))
     total = df.select("race_id").distinct().count()
-    out = out.join(races_of(df, dims, out), "rule").withColumn("buy_rate_pct", pct(F.col("races"), F.lit(total)))
+    out = out.join(races_of(df, dims, out), "rule").withColumn("buy_rate_pct", percent(F.col("races") * UNIT, F.lit(total)))
     low, high = buy_rate
     out = out if low is None else out.where(F.col("buy_rate_pct") >= low)
     out = out if high is None else out.where(F.col("buy_rate_pct") <= high)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock.operators import cube
 from paddock.plans.registry import query
-from paddock.plans.rules import S, rounded, scored
+from paddock.plans.rules import S, scored
 from paddock.sources.adapter import Tables
 
 TOP, GATES = 500, {"min_selections": 20, "min_fold_selections": 2}
@@ -53,16 +53,16 @@ def steps(rows: str, profile: str) -> str:
     fields = {"pred_min": pick(preds, "pred_top3"), "odds_min": pick([o[0] for o in odds], "place_odds_mid"), "odds_max": pick([o[1] for o in odds], "place_odds_mid"), "distance_min": pick([d[0] for d in distances], "distance"),
               "distance_max": pick([d[1] for d in distances], "distance"), "track_label": quoted(list(cube.TRACKS), "track_id"), "surface_id": pick([None, 0, 1], "surface_id"), "pred_rank_max": pick(ranks, "pred_rank"), "ev_mid_min": pick(evs, "expected_value_mid") if evs != (None,) else "CAST(NULL AS DOUBLE)"}
     key = " || '|' || ".join([quoted([f"pred>={p:.2f}" for p in preds], "pred_top3"), quoted([f"odds=[{a:.1f},{b:.1f})" for a, b in odds], "place_odds_mid"), quoted([f"distance=[{a},{b})" for a, b in distances], "distance"), quoted([f"track={x}" for x in cube.TRACKS], "track_id"), quoted(["surface=all", "surface=0", "surface=1"], "surface_id"), quoted(["rank=all" if k is None else f"rank=<={k}" for k in ranks], "pred_rank"), quoted(["ev_mid=all" if e is None else f"ev_mid=>={e:.1f}" for e in evs], "expected_value_mid")])
-    ret = lambda m: f"100.0 * (paid_{m} / 1000000) / n"
-    sql.append(f"""best AS (SELECT rule, CAST(sum(n) AS BIGINT) AS selections, CAST(sum(hits) AS BIGINT) AS hits, 100.0 * sum(hits) / sum(n) AS hit_rate_pct, {", ".join(f"100.0 * (sum(paid_{m}) / 1000000) / sum(n) AS return_{m}_pct" for m in ("min", "mid", "max"))},
-  min({ret('mid')}) AS min_fold_return_mid_pct, max({ret('mid')}) AS max_fold_return_mid_pct, CAST(min(n) AS BIGINT) AS min_fold_selections FROM g7 GROUP BY rule
+    percent = lambda money, n: f"CAST((200 * {money} + {n}) // (2 * {n}) AS DOUBLE) / 1000000"
+    sql.append(f"""best AS (SELECT rule, CAST(sum(n) AS BIGINT) AS selections, CAST(sum(hits) AS BIGINT) AS hits, {percent('sum(hits) * 1000000', 'sum(n)')} AS hit_rate_pct, {", ".join(f"{percent(f'sum(paid_{m})', 'sum(n)')} AS return_{m}_pct" for m in ("min", "mid", "max"))},
+  min({percent('paid_mid', 'n')}) AS min_fold_return_mid_pct, max({percent('paid_mid', 'n')}) AS max_fold_return_mid_pct, CAST(min(n) AS BIGINT) AS min_fold_selections FROM g7 GROUP BY rule
   HAVING count(*) = (SELECT count(DISTINCT fold) FROM {rows}) AND sum(n) >= {GATES['min_selections']} AND min(n) >= {GATES['min_fold_selections']} ORDER BY return_mid_pct DESC, min_fold_return_mid_pct DESC, selections DESC, rule LIMIT {TOP})""")
     sql.append(f"named AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in fields.items())}, {key} AS rule_key FROM best)")
     inside = " OR ".join(f"(track_label = '{k}' AND {'TRUE' if t == (None, None) else f'track_id IN {t[0]}' if t[0] else f'(track_id IS NULL OR track_id NOT IN {t[1]})'})" for k, t in cube.TRACKS.items())
     sql.append(f"""taken AS (SELECT rule, count(DISTINCT race_id) AS races FROM named b JOIN (SELECT race_id, pred_top3, place_odds_mid, distance, track_id, surface_id AS surface, pred_rank, expected_value_mid FROM {rows}) x ON pred_top3 >= pred_min AND place_odds_mid >= odds_min AND place_odds_mid < odds_max
   AND (distance_min IS NULL OR distance >= distance_min) AND (distance_max IS NULL OR distance < distance_max) AND (b.surface_id IS NULL OR surface = b.surface_id) AND (pred_rank_max IS NULL OR pred_rank <= pred_rank_max) AND (ev_mid_min IS NULL OR expected_value_mid >= ev_mid_min) AND ({inside}) GROUP BY rule)""")
-    r = ", ".join(f"round({c}, 6) AS {c}" for c in ("hit_rate_pct", "return_min_pct", "return_mid_pct", "return_max_pct", "min_fold_return_mid_pct", "max_fold_return_mid_pct"))
-    return ",\n".join(sql) + f"\nSELECT rule, rule_key, {', '.join(fields)}, races, selections, hits, {r}, min_fold_selections, round(100.0 * races / (SELECT count(DISTINCT race_id) FROM {rows}), 6) AS buy_rate_pct FROM named JOIN taken USING (rule)"
+    r = ", ".join(("hit_rate_pct", "return_min_pct", "return_mid_pct", "return_max_pct", "min_fold_return_mid_pct", "max_fold_return_mid_pct"))
+    return ",\n".join(sql) + f"\nSELECT rule, rule_key, {', '.join(fields)}, races, selections, hits, {r}, min_fold_selections, {percent('races * 1000000', 'total')} AS buy_rate_pct FROM named JOIN taken USING (rule) CROSS JOIN (SELECT count(DISTINCT race_id) AS total FROM {rows})"
 
 
 def twin(profile: str) -> str:
@@ -70,7 +70,7 @@ def twin(profile: str) -> str:
 
 
 def best(df: DataFrame, profile: str) -> DataFrame:
-    return rounded(cube.search(df, cube.grid(*cube.PROFILES[profile]), **GATES, top=TOP))
+    return cube.search(df, cube.grid(*cube.PROFILES[profile]), **GATES, top=TOP)
 
 
 @query(twin("place"), S)
