@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.operators import asof
 from paddock.plans.registry import query
 from paddock.sources.adapter import Tables
 from paddock.sources.scratch import folder
@@ -79,6 +80,19 @@ def live_join(t: Tables) -> DataFrame:
     return o.live_join(t.predictions, newest).select("race_id", "horse_number", "pred_rank", F.round("expected_value", 6).alias("expected_value"))
 
 
+ASKS = ("asks", "SELECT snapshot_id AS ask_id, race_id, horse_number, snapshot_at - to_minutes(CAST(snapshot_id % 3 AS INT)) AS asked_at FROM z WHERE horse_number % 4 > 0")
+
+
+@query("""SELECT ask_id, snapshot_id, round(odds, 6) AS odds, date_diff('second', snapshot_at, asked_at) AS age_seconds FROM (SELECT a.ask_id, a.asked_at, z.snapshot_id, z.odds, z.snapshot_at, row_number() OVER (PARTITION BY a.ask_id ORDER BY z.snapshot_at DESC NULLS LAST, z.snapshot_id DESC) AS n
+FROM asks a LEFT JOIN z ON z.race_id = a.race_id AND z.horse_number = a.horse_number AND z.status = 'fetched' AND z.snapshot_at <= a.asked_at) WHERE n = 1""", Z, ASKS)
+def odds_as_of(t: Tables) -> DataFrame:
+    """For each time of asking the newest fetched odds of the runner that aren't later."""
+    df = snapshots(t)
+    asks = df.where("horse_number % 4 > 0").select(F.col("snapshot_id").alias("ask_id"), "race_id", "horse_number", F.expr("snapshot_at - make_interval(0, 0, 0, 0, 0, CAST(snapshot_id % 3 AS INT), 0)").alias("asked_at"))
+    found = asof.as_of(asks, df.where("status = 'fetched'"), ["race_id", "horse_number"], "asked_at", "snapshot_at", "snapshot_id", ["snapshot_id", "odds"])
+    return found.select("ask_id", "snapshot_id", F.round("odds", 6).alias("odds"), F.timestamp_diff("SECOND", "snapshot_at", "asked_at").alias("age_seconds"))
+
+
 def as_stream(t: Tables) -> DataFrame:
     """The snapshots as a stream: the events table read file by file, through the adapter's own view."""
     spark = t.spark
