@@ -11,6 +11,7 @@ from paddock.operators import asof
 from paddock.plans.registry import query
 from paddock.sources.adapter import Tables
 from paddock.sources.scratch import folder
+from paddock.streaming import merge
 from paddock.streaming import odds as o
 
 M = "date_diff('second', snapshot_at, post_time_at) / 60.0::DOUBLE"
@@ -102,14 +103,56 @@ def as_stream(t: Tables) -> DataFrame:
     return live.snapshots.withColumn("snapshot_at", F.date_trunc("second", "snapshot_at"))
 
 
+def _folder(t: Tables) -> str:
+    return f"{folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
 def _run(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    return o.drain(stream, f"{folder(t.spark)}/stream-{uuid.uuid4().hex}", mode)
+    return o.drain(stream, _folder(t), mode)
 
 
 @query(LATEST.format(keys="horse_number, bucket"), Z)
 def stream_bucket_odds(t: Tables) -> DataFrame:
-    out = _run(t, o.stream_latest(as_stream(t)), "complete")
-    return out.select("race_id", "horse_number", "bucket", "snapshot_id", F.round("odds", 6).alias("odds"))
+    """Newest odds of each race, horse and bucket, merged batch by batch into the parts that a batch touches."""
+    table, _ = merge.merge_stream(as_stream(t), _folder(t))
+    return table.read().select("race_id", "horse_number", "bucket", "newest.snapshot_id", F.round("newest.odds", 6).alias("odds"))
+
+
+def in_files(t: Tables, df: DataFrame, *parts: str) -> DataFrame:
+    """A stream of ``df`` in batches, one file each: the rows of each condition."""
+    at = f"{folder(t.spark)}/files-{uuid.uuid4().hex}"
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(at)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+#: The ids' remainders by 3 come in a batch each. Spark judges lateness by the watermark that the batch before had, so
+#: in the third batch those rows are late whose day ended a day before the newest time of the first batch.
+ON_TIME = ("f", """SELECT * FROM (SELECT *, (SELECT max(snapshot_at) FROM z WHERE snapshot_id % 3 = 0 AND status = 'fetched') - INTERVAL 1 DAY AS mark FROM z WHERE status = 'fetched')
+WHERE snapshot_id % 3 < 2 OR date_trunc('day', snapshot_at) + INTERVAL 1 DAY > mark""")
+
+
+@query(LATEST.format(keys="horse_number, bucket").replace("FROM z", "FROM f"), Z, ON_TIME)
+def stream_late_merge(t: Tables) -> DataFrame:
+    """The same in three batches with a moving watermark: rows of days that have gone by are dropped."""
+    table, _ = merge.merge_stream(in_files(t, snapshots(t), *[f"snapshot_id % 3 = {k}" for k in range(3)]), _folder(t))
+    return table.read().select("race_id", "horse_number", "bucket", "newest.snapshot_id", F.round("newest.odds", 6).alias("odds"))
+
+
+DETAIL_MINUTES = "CAST(snapshot_id % 20 AS INT) - 5"
+
+
+@query(f"SELECT snapshot_id, race_id, bet_type, horse_number, round(odds, 6) AS odds FROM z WHERE status = 'fetched' AND abs({DETAIL_MINUTES}) <= 10", Z)
+def stream_snapshot_join(t: Tables) -> DataFrame:
+    """Headers of all snapshots joined with the details of fetched ones, as two streams; details too far from their header find none."""
+    df = snapshots(t)
+    detail_at = F.expr(f"snapshot_at + make_interval(0, 0, 0, 0, 0, {DETAIL_MINUTES}, 0)").alias("detail_at")
+    details = df.where("status = 'fetched'").select("snapshot_id", detail_at, "horse_number", "odds")
+    headers = df.select("snapshot_id", "race_id", "bet_type", "snapshot_at")
+    one_file = lambda x: in_files(t, x, "true")
+    out, _ = merge.join_stream(one_file(headers), one_file(details), _folder(t))
+    return out.select("snapshot_id", "race_id", "bet_type", "horse_number", F.round("odds", 6).alias("odds"))
 
 
 @query("SELECT bucket, count(DISTINCT (race_id, bet_type)) AS collected FROM z GROUP BY 1", Z)
