@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.operators import history
+from paddock.operators import columns, history
 from paddock.operators.relative import relative, specs
 
 #: Names that training data may not hold: they are known only at or after the post.
 LEAKS = ("popularity", "odds")
 KEYS = ["race_id", "horse_number"]
-# Columns of the training dataset besides the history, the label last.
-TRAINED = [
-    "race_id", "date", "track_id", "race_number", "post_time_min", "surface_id", "distance", "course_direction_id", "course_layout_id", "course_variant_id", "weather_id", "track_condition_id", "race_size", "gate", "horse_number",
-    "horse_id", "horse_name", "sex_id", "age", "jockey_id", "weight", "stable_id", "trainer_id", "target_top3",
-]
-PEDIGREE = ["sire_id", "dam_id", "broodmare_sire_id", "pedigree_available"]
-RAW_RELATIVE = ["gate", "horse_number", "weight", "age"]
 
 
 def base_rows(runner: DataFrame, race: DataFrame, place_odds: DataFrame, win_odds: DataFrame, horse: DataFrame) -> DataFrame:
@@ -39,17 +32,18 @@ def win_odds_as_place(df: DataFrame) -> DataFrame:
     return with_win_label(df).withColumns({"place_odds_min": F.col("win_odds"), "place_odds_max": F.col("win_odds")})
 
 
-def training(base: DataFrame, with_history: bool = True) -> DataFrame:
-    """Keys, label, race and runner columns, and, if wanted, history with its race-relative twins; of live rows alone if there are some."""
-    own = [*TRAINED[:-1], *PEDIGREE, TRAINED[-1]]
+def training(base: DataFrame, with_history: bool = True, with_pedigree: bool = True) -> DataFrame:
+    """The columns of ``columns.training``, in order: keys, race and runner, pedigree and history with its race-relative twins, if wanted, and the label; of live rows alone if there are some."""
+    names = columns.training(with_pedigree, with_history)
     size = F.count(F.lit(1)).over(Window.partitionBy("race_id")).cast("int")
     if not with_history:
-        return base.withColumn("race_size", size).select(*own)
-    df = history.all_history(base)
+        return base.withColumn("race_size", size).select(*names)
+    df = history.all_history(base, with_pedigree)
     df = df.where(history.LIVE) if history.LIVE in df.columns else df
-    made = [c for c in df.columns if c not in base.columns and ("_past_" in c or "_recent" in c or c.startswith(("horse_distance_", "horse_weight_", "horse_days_")))]
-    numeric = [c for c in made if not c.endswith(("_starts", "_top3"))] + RAW_RELATIVE
-    return relative(df.withColumn("race_size", size).select(*own, *made), specs(numeric))
+    plain, bred = columns.twins_of()
+    wanted = plain + (bred if with_pedigree else [])
+    needed = [c for c in names if not c.startswith("race_") or c in columns.PLAIN]
+    return relative(df.withColumn("race_size", size).select(*needed), specs(wanted)).select(*names)
 
 
 def guard(df: DataFrame) -> DataFrame:

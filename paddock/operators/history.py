@@ -48,7 +48,7 @@ def history_before(df: DataFrame, lead: str, specs: list[Spec], recents: list[tu
 
     Each of ``specs`` adds {prefix}_past_starts, _past_top3, _past_top3_rate over rows of the
     same id and further keys, the means of its columns, nulls skipped, and their least and
-    greatest. ``recents`` add {name}_recent{n}_avg_{column} over the last n rows before the
+    greatest. ``recents`` add {name}_recent{n}_avg_{key}, or _top3_rate for the key top3, over the last n rows before the
     day, ``last`` the last day's distance from today and its race's distance.
 
     Rows that agree in all keys of ``specs`` and the day are summed first; what precedes a day
@@ -84,7 +84,7 @@ def history_before(df: DataFrame, lead: str, specs: list[Spec], recents: list[tu
         days = days.join(tails, days[lead].eqNullSafe(F.col("__id")) & (days[on] == F.col("__of"))).drop("__id", "__of")
         for n, means in recents:
             some = F.slice("__tail", F.greatest(F.lit(1), F.size("__tail") - n + 1), F.lit(n))
-            days = days.withColumns({f"{name}_recent{n}_avg_{k}": mean(some[c].cast("array<double>")) for k, c in means.items()})
+            days = days.withColumns({recent_name(name, n, k): mean(some[c].cast("array<double>")) for k, c in means.items()})
         if last:
             days = days.withColumns({"__d": F.try_element_at("__tail", F.lit(-1))["date"], f"{name}_prev_distance": F.try_element_at("__tail", F.lit(-1))["distance"]})
         days = days.drop("__tail")
@@ -127,8 +127,12 @@ def cumulative_before(df: DataFrame, prefix: str, keys: list[str], means: dict[s
     return history_before(df, keys[0], [spec(prefix, *keys[1:], means=means, spans=spans)], missing=missing, source=source)
 
 
+def recent_name(name: str, n: int, key: str) -> str:
+    return f"{name}_recent{n}_top3_rate" if key == "top3" else f"{name}_recent{n}_avg_{key}"
+
+
 def recent_before(df: DataFrame, prefix: str, key: str, n: int, means: dict[str, str]) -> DataFrame:
-    """Adds {prefix}_recent{n}_avg_{column} alone."""
+    """Adds the means of the last n rows alone."""
     return history_before(df, key, [], [(n, means)], name=prefix)
 
 
@@ -173,7 +177,7 @@ def fit(df: DataFrame) -> DataFrame:
     })
 
 
-def all_history(base: DataFrame) -> DataFrame:
+def all_history(base: DataFrame, with_pedigree: bool = True) -> DataFrame:
     """Every history feature of the training dataset, from the rows of ``base_rows``."""
     df = base.withColumns({"time_per_200": F.try_divide(F.col("time_sec"), F.col("distance")) * 200, "distance_band": distance_band(F.col("distance"))})
     own = df
@@ -189,7 +193,7 @@ def all_history(base: DataFrame) -> DataFrame:
         df = history_before(df, f"{owner}_id", specs, recents[owner], last=owner == "horse", source=own)
         for kind in conditions[owner]:
             df = share_and_lift(df, owner, kind)
-    return pedigree(fit(df), source=own)
+    return pedigree(fit(df), source=own) if with_pedigree else fit(df)
 
 
 def pedigree(df: DataFrame, conditions: bool = True, source: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ def test_same_day_rows_never_see_each_other(spark):
     assert [got["h", f"r{i}"].x_past_starts for i in (1, 2, 3, 4)] == [0, 0, 2, 3]
     assert [got["h", f"r{i}"].x_past_top3 for i in (1, 2, 3, 4)] == [0, 0, 1, 2]
     assert got[None, "r3"].x_past_starts == 0 and got[None, "r4"].x_past_starts == 1
-    assert got["h", "r3"].x_recent2_avg_top3 == 0.5 and got["h", "r2"].x_recent2_avg_top3 is None
+    assert got["h", "r3"].x_recent2_top3_rate == 0.5 and got["h", "r2"].x_recent2_top3_rate is None
 
 
 def test_relative_ranks_put_nulls_at_minus_one(spark):
