@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import slices, texts
+from paddock.llm.common import give_back, in_tasks, slices, texts
 
 #: Most labelled rows of each class that training looks at; more than this are left out by hash of their id.
 SAMPLE_PER_CLASS = 1_000
@@ -188,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def trained(rows: pd.DataFrame) -> pd.DataFrame:
     listed = sorted(zip(rows["id"], rows["text"], rows["label"]), key=lambda r: (zlib.crc32(r[0].encode()), r[0]))
     model = train([(text, int(label)) for _, text, label in listed])
+    give_back()
     return pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias]})
 
 
@@ -199,7 +200,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     doc = texts(docs, id_col, text_col)
     kind = doc.schema["doc_id"].dataType.simpleString()
-    out = doc.mapInArrow(scorer(model), f"doc_id {kind}, score double")
+    out = in_tasks(doc, scorer(model), f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -213,4 +214,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
                 scores = own.scores([t or "" for t in part[text_col].to_pylist()])
                 yield part.filter(pa.array([s >= 0.5 for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_tasks(docs, run, docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import durable, pack_texts, printed, slices, stored, unpack
+from paddock.llm.common import durable, in_tasks, pack_texts, printed, slices, stored, unpack
 from paddock.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of 3e-6.
@@ -219,7 +219,7 @@ def linked(body: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     first = body.select(F.col("node").alias("a"), F.col("packed").alias("text_a")).join(fan, "a")
     first = first.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("part"))
     both = second.join(first, ["a", "part"])
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(comparer(size, percent), "a long, b long").distinct()
+    return in_tasks(both.select("a", "b", "text_a", "text_b"), comparer(size, percent), "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, tie: bool = True) -> DataFrame:
@@ -232,7 +232,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     doc = printed(docs, id_col, text_col)
     kind = doc.schema["doc_id"].dataType.simpleString()
-    sketch = doc.mapInArrow(sketcher(size, bands, rows), f"doc_id {kind}, print long, n long, digest binary, bands array<long>")
+    sketch = in_tasks(doc, sketcher(size, bands, rows), f"doc_id {kind}, print long, n long, digest binary, bands array<long>")
     sketch = stored(sketch.withColumn("rid", F.monotonically_increasing_id()))
     shared = sketch.where("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("digest").alias("d"), "first")
     at_class = lambda df: df.join(shared, F.col("digest") == F.col("d"), "left").withColumn("node", F.coalesce("first", "rid")).drop("digest", "d", "first")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm.bpe import PieceIds
-from paddock.llm.common import durable, slices, texts
+from paddock.llm.common import durable, in_tasks, slices, texts
 
 CAPACITY = 2048
 #: A rest is kept whole if its class's bins are filled to this share, or if it is shorter than capacity / LAST_CLASS.
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     doc = texts(docs, id_col, text_col)
     kind = doc.schema["doc_id"].dataType.simpleString()
     numbers = "start long, length long, ids_crc32 long, doc_tokens long"
-    piece = durable(doc.mapInArrow(cutter(tokenizer_path, capacity), f"doc_id {kind}, {numbers}, task long, k long, number long"))
+    piece = durable(in_tasks(doc, cutter(tokenizer_path, capacity), f"doc_id {kind}, {numbers}, task long, k long, number long"))
 
     count = piece.groupBy("k", "task").agg(F.max("number").alias("last"))
     before = Window.partitionBy("k").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
