@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators import base
+from paddock.operators import base, reports
 from paddock.operators import modelling as m
 from paddock.operators import rules as r
 from paddock.operators import splits as s
 from paddock.plans.datasets import BASE, rows
 from paddock.plans.registry import query
-from paddock.plans.rules import GRID, rounded
+from paddock.plans.rules import FIXED, GRID, rounded
 from paddock.sources import io, pages
 from paddock.sources.adapter import Tables
 from paddock.sources.scratch import folder, kept
@@ -22,10 +22,6 @@ from paddock.sources.scratch import folder, kept
 CATEGORIES = ["track_id", "surface_id", "track_condition_id"]
 #: Folds of the walk, the share of race days before the first, and the size of the models; the last two are far below a production model's (500 trees of depth 6), which are these functions' parameters.
 FOLDS, RATIO, TREES, DEPTH = 4, 0.5, 3, 3
-#: Groups of columns that ablation leaves out, by parts of their names.
-GROUPS = {"no_pedigree": ["sire", "dam_", "pedigree"], "no_affinity": ["_track_", "_surface_", "_course_", "_distance_band_"]}
-
-
 def trained_rows(t: Tables) -> DataFrame:
     """The training dataset with the place odds that evaluation needs."""
     own = kept(rows(t))
@@ -39,8 +35,14 @@ def numbers_of(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in ("int", "bigint", "double") and c not in none]
 
 
+#: What evaluation reads besides the score.
+EVALUATED = ["date", "track_id", "surface_id", "distance", "race_size", "target_top3", "place_odds_min", "place_odds_mid", "place_odds_max"]
+
+
 def walked(df: DataFrame, numbers: list[str], folds: DataFrame) -> DataFrame:
-    return kept(m.walk_forward(df, folds, CATEGORIES, numbers, TREES, DEPTH).drop(*[c for c in numbers if c != "horse_number"]))
+    """Scored test rows with what evaluation reads, as it was before models' stand-ins for missing values."""
+    found = m.walk_forward(df, folds, CATEGORIES, numbers, TREES, DEPTH).select(*base.KEYS, "fold", "test_start", "test_end", "pred_top3")
+    return kept(found.join(df.select(*base.KEYS, *EVALUATED), base.KEYS))
 
 
 @query()
@@ -51,41 +53,32 @@ def wf_predict(t: Tables) -> DataFrame:
 
 @query()
 def wf_eval(t: Tables) -> DataFrame:
-    """Metrics of each fold beside the best grid rules' results in it."""
+    """The walk's metrics by fold, and the 20 most stable rules and rules by condition over its folds."""
     df = trained_rows(t)
-    scored = walked(df, numbers_of(df), s.fold_table(df, FOLDS, RATIO))
-    best = r.summary(r.applied(r.enriched(scored), GRID), "rule", "fold")
-    return rounded(s.metrics(scored).join(best, "fold")).orderBy(F.desc("return_mid_pct")).limit(20)
+    scored = kept(r.enriched(walked(df, numbers_of(df), s.fold_table(df, FOLDS, RATIO))))
+    held = reports.stable(scored, GRID, FOLDS, least=5, top=20)
+    measured = s.metrics(scored).select(F.lit("metrics").alias("report"), F.concat(F.lit("fold "), "fold").alias("rule"), "auc", "log_loss", "brier")
+    return rounded(held.unionByName(measured, allowMissingColumns=True))
 
 
 @query()
 def holdout_eval(t: Tables) -> DataFrame:
-    """The holdout's reports in one table: best of each race, thresholds, bands of odds, and the rule grid."""
+    """The holdout's metrics and all its reports."""
     df = trained_rows(t)
     cut = s.split_ratio(df, 0.2).where("part = 'test'").agg(F.min("date")).first()[0]
     fold = t.spark.createDataFrame([(1, cut, None)], "fold int, test_start date, test_end date")
     scored = kept(r.enriched(walked(df, numbers_of(df), fold)))
-    parts = {
-        "strategy": r.summary(r.top_k(scored, "pred_top3", [1, 2, 3]).withColumn("name", F.col("k").cast("string")), "name"),
-        "threshold": r.summary(r.above(scored, "pred_top3", [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]).withColumn("name", F.col("threshold").cast("string")), "name"),
-        "band": r.summary(r.banded(scored, "place_odds_mid", [0, 1.5, 2.0, 3.0, 5.0, 10.0, 1000.0]).withColumnRenamed("band", "name"), "name"),
-        "grid": r.summary(r.applied(scored, GRID).withColumnRenamed("rule", "name"), "name"),
-    }
-    report = reduce(DataFrame.unionByName, [df.withColumn("report", F.lit(k)) for k, df in parts.items()])
-    measured = s.metrics(scored).drop("fold")
-    return rounded(report.withColumn("one", F.lit(1)).join(F.broadcast(measured.withColumn("one", F.lit(1))), "one").drop("one"))
+    measured = s.metrics(scored).select(F.lit("metrics").alias("report"), "auc", "log_loss", "brier")
+    return rounded(reports.holdout(scored, GRID, least=5).unionByName(measured, allowMissingColumns=True))
 
 
 @query()
 def ablation(t: Tables) -> DataFrame:
-    """Metrics without a group of columns, and the difference to all columns."""
+    """Metrics and a fixed rule's results without each of the eight groups of columns, and the differences to all columns."""
     df = trained_rows(t)
-    folds = s.fold_table(df, 2, RATIO)
-    every = numbers_of(df)
-    variants = {"all": every} | {name: [c for c in every if not any(p in c for p in parts)] for name, parts in GROUPS.items()}
-    results = kept(reduce(DataFrame.unionByName, [s.metrics(walked(df, numbers, folds)).withColumn("variant", F.lit(name)) for name, numbers in variants.items()]))
-    full = results.where("variant = 'all'").select("fold", F.col("auc").alias("base_auc"))
-    return rounded(results.join(full, "fold").withColumn("auc_delta", F.col("auc") - F.col("base_auc")))
+    folds, every = s.fold_table(df, 2, RATIO), numbers_of(df)
+    variants = reports.without_groups(every, protected=[*base.KEYS, "date", "target_top3", "track_id", "surface_id", "distance", "race_size"])
+    return rounded(reports.ablation({name: (len(every) - len(numbers), r.enriched(walked(df, numbers, folds))) for name, numbers in variants.items()}, FIXED))
 
 
 @query("SELECT feature, avg(v) AS mean, max(v) AS max, min(v) AS min, count(v) AS folds FROM (SELECT CAST(track_id AS VARCHAR) AS feature, fold, CAST(round(avg(pred_top3) * 1000000) AS BIGINT) AS v FROM predictions GROUP BY 1, 2) GROUP BY 1")
