@@ -55,7 +55,7 @@ def unstarted(t: Tables) -> DataFrame:
 DUE = "SELECT unnest([" + ", ".join(f"{{'bucket': '{b}', 'lo': {0.0 if b == 'pre_0_2' else m}::DOUBLE, 'hi': {m + 5.0}::DOUBLE}}" for b, m in o.TARGETS.items()) + "]) AS w"
 
 
-@query(f"SELECT race_id, w.bucket AS bucket, min(snapshot_at) AS tick FROM (SELECT r.race_id, snapshot_at, date_diff('second', snapshot_at, r.post) / 60.0::DOUBLE AS m FROM (SELECT DISTINCT snapshot_at FROM z) JOIN (SELECT DISTINCT race_id, post_time_at AS post FROM z) r ON CAST(snapshot_at AS DATE) = CAST(r.post AS DATE)) JOIN ({DUE}) d ON m >= w.lo AND m <= w.hi GROUP BY 1, 2", Z)
+@query(f"SELECT race_id, w.bucket AS bucket, min(snapshot_at) AS tick FROM (SELECT r.race_id, snapshot_at, date_diff('second', snapshot_at, r.post) / 60.0::DOUBLE AS m FROM (SELECT DISTINCT snapshot_at FROM z) JOIN (SELECT DISTINCT race_id, post_time_at AS post FROM z) r ON r.post >= snapshot_at AND r.post <= snapshot_at + INTERVAL 3 HOURS) JOIN ({DUE}) d ON m >= w.lo AND m <= w.hi GROUP BY 1, 2", Z)
 def due_schedule(t: Tables) -> DataFrame:
     s = snapshots(t)
     return o.due(s.select(F.col("snapshot_at").alias("tick")).distinct(), s.select("race_id", "post_time_at").distinct(), 300)

@@ -34,11 +34,17 @@ def snapshot_status(odds: Column, error: Column) -> Column:
 
 
 def due(ticks: DataFrame, races: DataFrame, poll_seconds: float) -> DataFrame:
-    """(race_id, bucket, tick): the first tick that falls in the bucket's window; ticks meet only races of their day."""
+    """(race_id, bucket, tick): the first tick that falls in the bucket's window, be it on the day before.
+
+    Windows and ticks meet by the hour, and a window lies in two hours at most, so the pairs
+    are bounded by the ticks of the windows' hours, not by all ticks of a day.
+    """
     span = max(poll_seconds / 60.0, 0.5)
     windows = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(0.0 if b == "pre_0_2" else m).alias("lo"), F.lit(m + span).alias("hi")) for b, m in TARGETS.items()])
-    met = ticks.withColumn("__day", F.to_date("tick")).join(races.withColumn("__day", F.to_date("post_time_at")), "__day")
-    met = met.withColumn("m", minutes_to_post(F.col("post_time_at"), F.col("tick"))).withColumn("w", F.explode(windows)).where("m >= w.lo AND m <= w.hi")
+    hour = lambda seconds: F.floor(seconds / 3600)
+    post, tick = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("post_time_at", "tick"))
+    wanted = races.withColumn("w", F.explode(windows)).withColumn("__hour", F.explode(F.sequence(hour(post - F.col("w.hi") * 60), hour(post - F.col("w.lo") * 60))))
+    met = wanted.join(ticks.withColumn("__hour", hour(tick)), "__hour").withColumn("m", minutes_to_post(F.col("post_time_at"), F.col("tick"))).where("m >= w.lo AND m <= w.hi")
     return met.groupBy("race_id", F.col("w.bucket").alias("bucket")).agg(F.min("tick").alias("tick"))
 
 

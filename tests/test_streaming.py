@@ -6,7 +6,7 @@ import os
 import paddock.plans  # noqa: F401
 from paddock.plans.registry import QUERIES
 from paddock.sources.scratch import folder
-from paddock.streaming import merge
+from paddock.streaming import merge, odds
 
 DATA = "/root/testdata/sf0.001"
 
@@ -82,3 +82,11 @@ def test_headers_and_details_join_in_time_and_waiting_ones_are_dropped(spark, tm
     rows = lambda df: sorted((r.snapshot_id, r.race_id, r.odds) for r in df.collect())
     assert rows(out) == rows(merge.joined(headers, details)) == [(1, "a", 2.0), (2, "b", 4.0), (9, "z", 6.0)]
     assert progress[-1].state < max(p.state for p in progress)
+
+
+def test_windows_before_midnight_are_met_on_the_day_before(spark):
+    post = dt.datetime(2024, 5, 2, 0, 30)
+    ticks = [post - dt.timedelta(minutes=m) for m in (123, 121, 61, 30, 14, 5, 1)]
+    rows = odds.due(spark.createDataFrame([(x,) for x in ticks], "tick timestamp"), spark.createDataFrame([("a", post), ("b", None)], "race_id string, post_time_at timestamp"), 300).collect()
+    got = {r.bucket: int((post - r.tick).total_seconds() / 60) for r in rows}
+    assert got == {"over_120": 123, "pre_60_120": 61, "pre_30_60": 30, "pre_5_15": 5, "pre_2_5": 5, "pre_0_2": 5} and {r.race_id for r in rows} == {"a"}
