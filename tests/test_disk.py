@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from paddock.operators import history as h
 from paddock.operators import portfolio as p
 from paddock.plans.datasets import rows
 from paddock.plans.rules import scored_once
@@ -49,3 +50,32 @@ def test_portfolios_by_masks_equal_a_row_for_each_bet_and_portfolio(spark):
     show = lambda out: {r.portfolio: tuple(round(v, 6) for v in r[1:]) for r in out.select("portfolio", "races", "selections", "hits", "roi_pct", "min_fold_roi_pct", "buy_rate_pct", "hit_pct").collect()}
     assert show(p.portfolio_summary(df, 7, members)) == show(p.bet_summary(p.in_portfolios(df, members), 7, "portfolio"))
     assert "Generate" not in plan(p.portfolio_summary(df, 7, members))
+
+
+def racing(spark):
+    day = [dt.date(2024, 1, d) for d in range(1, 9)]
+    made = [(f"r{i % 20}", i, None if i % 11 == 0 else f"h{i % 4}", f"j{i % 3}", day[(i * 5) % 8], i % 3, 1000 + i % 5, i % 2, 1 + i % 6) for i in range(120)]
+    return spark.createDataFrame(made, "race_id string, horse_number int, horse_id string, jockey_id string, date date, track_id int, distance int, target_top3 int, finish int")
+
+
+def test_histories_of_several_ids_equal_one_after_the_other(spark):
+    df = racing(spark)
+    steps = [
+        {"lead": "horse_id", "specs": [h.spec("horse", means={"finish": "finish"}), h.spec("horse_track", "track_id")], "recents": [(3, {"top3": "target_top3", "finish": "finish"})], "last": True},
+        {"lead": "jockey_id", "specs": [], "recents": [(5, {"finish": "finish"})]},
+        {"lead": "horse_id", "specs": [h.spec("known")], "missing": h.missing_key(["horse_id"])},
+    ]
+    want = df
+    for step in steps:
+        want = h.history_before(want, **step, source=df)
+    got = h.histories(h.numbered(df), steps)
+    assert sorted(got.columns) == sorted(want.columns) and got.count() == 120
+    assert got.select(*want.columns).exceptAll(want).count() == want.exceptAll(got.select(*want.columns)).count() == 0
+
+
+def test_last_rows_go_no_further_than_their_window(spark):
+    df = racing(spark)
+    days = h.last_rows(df, "horse_id", [(3, {"finish": "finish"})], True, "horse")
+    assert [kind for _, kind in days.dtypes if "array" in kind] == []
+    joined = plan(h.history_before(df, "horse_id", [h.spec("horse")], [(3, {"finish": "finish"})]))
+    assert not [x for x in joined.split("\n") if "Exchange" in x and "__tail" in x]
