@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import paddock.plans  # noqa: F401
 from paddock.plans.registry import QUERIES
@@ -90,3 +91,19 @@ def test_windows_before_midnight_are_met_on_the_day_before(spark):
     rows = odds.due(spark.createDataFrame([(x,) for x in ticks], "tick timestamp"), spark.createDataFrame([("a", post), ("b", None)], "race_id string, post_time_at timestamp"), 300).collect()
     got = {r.bucket: int((post - r.tick).total_seconds() / 60) for r in rows}
     assert got == {"over_120": 123, "pre_60_120": 61, "pre_30_60": 30, "pre_5_15": 5, "pre_2_5": 5, "pre_0_2": 5} and {r.race_id for r in rows} == {"a"}
+
+
+def test_due_meets_ticks_once_for_all_races_of_a_post(spark):
+    dice, noon = random.Random(3), dt.datetime(2024, 1, 2, 0, 40)
+    ticks = sorted({noon + dt.timedelta(seconds=dice.randint(-12_000, 3_000), microseconds=dice.choice([0, 0, 400_000])) for _ in range(90)})
+    posts = {f"r{i}": noon + dt.timedelta(minutes=7 * (i % 5)) for i in range(40)}
+    ticks_df, races = spark.createDataFrame([(x,) for x in ticks], "tick timestamp"), spark.createDataFrame([*posts.items()], "race_id string, post_time_at timestamp")
+    want = {}
+    for race, post in posts.items():
+        for bucket, minute in odds.TARGETS.items():
+            low = 0.0 if bucket == "pre_0_2" else minute
+            if met := [x for x in ticks if low <= int((post - x).total_seconds()) / 60 <= minute + 5]:
+                want[race, bucket] = min(met)
+    due = odds.due(ticks_df, races, 300)
+    assert {(r.race_id, r.bucket): r.tick for r in due.collect()} == want
+    assert "Aggregate [post_time_at" in due._jdf.queryExecution().optimizedPlan().toString()  # windows of distinct posts
