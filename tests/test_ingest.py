@@ -1,6 +1,7 @@
 """One-pass ingestion against a plain reading of the same documents."""
 
 import json
+import os
 import random
 import re
 
@@ -195,3 +196,17 @@ def test_no_document(spark, tmp_path):
     (tmp_path / "none.json").write_text("")
     got = raw.ingest(spark, str(tmp_path), False)
     assert tuple(got) == raw.TABLES and all(df.count() == 0 for df in got.values())
+
+
+def test_only_what_the_wanted_tables_read_is_stored(spark, monkeypatch):
+    from paddock.plans import ingesting
+    from paddock.sources.adapter import Tables
+
+    stored, keep = [], raw.saved
+    monkeypatch.setattr(raw, "saved", lambda df: stored.append(df.columns) or keep(df))
+    at = ingesting.documents(Tables(spark, "/root/testdata/sf0.001"))
+    whole, one = raw.ingest(spark, at, multi_line=False), raw.ingest(spark, at, multi_line=False, only=("win", "rejects"))
+    assert list(one) == ["win", "rejects"] and {"runners", "trio"} <= {*stored[0]} and not {"runners", "race", "place", "wide", "trio"} & {*stored[1]}
+    for part in one:
+        assert one[part].exceptAll(whole[part]).count() == whole[part].exceptAll(one[part]).count() == 0
+    assert {f.rpartition(".")[2] for f in os.listdir(at.removeprefix("file:")) if f.startswith("part-")} == {"gz"}
