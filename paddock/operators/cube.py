@@ -131,7 +131,8 @@ def races_of(df: DataFrame, dims: list[Dimension], rules: DataFrame) -> DataFram
     A race's levels come once each. They meet the rules through the first dimension's options
     and the others are checked there; the rules are no more than the grid has.
     """
-    spread = df.select("race_id", *[d.level.alias(f"__{d.name}") for d in dims]).distinct()
+    # Dealt by race, so that its rules are counted where it lies.
+    spread = df.select("race_id", *[d.level.alias(f"__{d.name}") for d in dims]).repartition("race_id").distinct()
     stride, own = size_of(dims), rules.select("rule")
     for d in dims:
         stride //= len(d.options)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from paddock.operators import cube
 from paddock.plans.registry import query
-from paddock.plans.rules import S, scored
+from paddock.plans.rules import S, scored_once
 from paddock.sources.adapter import Tables
+from paddock.sources.scratch import saved
 
 TOP, GATES = 500, {"min_selections": 20, "min_fold_selections": 2}
 #: What the win profile searches: win odds in the place of place odds, and wins.
@@ -76,7 +77,7 @@ def best(df: DataFrame, profile: str) -> DataFrame:
 @query(twin("place"), S)
 def rule_search_grid(t: Tables) -> DataFrame:
     """The best of all 315,000 rules of the place profile with rank and expected value conditions."""
-    return best(scored(t), "place")
+    return best(scored_once(t), "place")
 
 
 @query(twin("win"), WIN_ROWS, WIN_S)
@@ -88,6 +89,6 @@ def rule_search_win(t: Tables) -> DataFrame:
 def scored_wins(t: Tables) -> DataFrame:
     from paddock.operators.rules import enriched
 
-    wins = t.runner.select("race_id", "horse_number", F.when(F.col("finish") == 1, 1).otherwise(0).alias("won"))
-    rows = t.predictions.join(wins, ["race_id", "horse_number"]).join(t.win_odds, ["race_id", "horse_number"])
-    return enriched(rows.select("race_id", "horse_number", "date", "fold", "track_id", "surface_id", "distance", F.col("won").alias("target_top3"), (F.col("pred_top3") / 2).alias("pred_top3"), *[F.col("odds").alias(f"place_odds_{m}") for m in ("min", "mid", "max")]))
+    won = F.when(F.col("finish") == 1, 1).otherwise(0)
+    rows = t.predicted.select("race_id", "horse_number", "date", "fold", "track_id", "surface_id", "distance", won.alias("target_top3"), (F.col("pred_top3") / 2).alias("pred_top3"), *[F.col("win_odds").alias(f"place_odds_{m}") for m in ("min", "mid", "max")])
+    return saved(enriched(rows))

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from paddock.operators import cube
 from paddock.operators import history as h
 from paddock.operators import portfolio as p
 from paddock.plans.datasets import rows
@@ -79,3 +80,15 @@ def test_last_rows_go_no_further_than_their_window(spark):
     assert [kind for _, kind in days.dtypes if "array" in kind] == []
     joined = plan(h.history_before(df, "horse_id", [h.spec("horse")], [(3, {"finish": "finish"})]))
     assert not [x for x in joined.split("\n") if "Exchange" in x and "__tail" in x]
+
+
+def test_races_of_rules_are_counted_where_a_race_lies(spark):
+    dims = cube.grid([0.1, 0.2], [(1.0, 3.0), (2.0, 9.0)], [(None, None)])
+    df = spark.createDataFrame([(f"r{i % 9}", 0.05 * (i % 6), 1.0 + i % 5, 1200, 1 + i % 3, 0, 1 + i % 4, 0.5) for i in range(90)], "race_id string, pred_top3 double, place_odds_mid double, distance int, track_id int, surface_id int, pred_rank int, expected_value_mid double")
+    found = cube.races_of(df, dims, spark.range(cube.size_of(dims)).withColumnRenamed("id", "rule"))
+    got = {r.rule: r.races for r in found.collect()}
+    flat = [r.asDict() for r in df.collect()]
+    for i, (pred, low, high) in enumerate((a, *b) for a in (0.1, 0.2) for b in ((1.0, 3.0), (2.0, 9.0))):
+        at = i * (cube.size_of(dims) // 4)  # all tracks, surfaces and ranks
+        assert got.get(at, 0) == len({r["race_id"] for r in flat if r["pred_top3"] >= pred and low <= r["place_odds_mid"] < high})
+    assert not re.search(r"Exchange hashpartitioning\(rule#\d+L?, race_id", plan(found))
