@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paddock.operators import reports
 from paddock.operators import rules as r
 from paddock.plans.registry import query
-from paddock.plans.rules import CONDS, FIXED, GRID, S, SUMS, condition, rounded, scored, taken
+from paddock.plans.rules import CONDS, FIXED, GRID, S, SUMS, condition, rounded, scored, scored_once, taken
 from paddock.sources.adapter import Tables
 
 LEAST = 5
@@ -32,7 +32,7 @@ def holdout_sql() -> str:
 @query(holdout_sql(), S, TAKEN)
 def holdout_reports(t: Tables) -> DataFrame:
     """Strategies, thresholds and bands of three scores, the rule grid, and the grid by condition."""
-    return rounded(reports.holdout(scored(t), GRID, LEAST))
+    return rounded(reports.holdout(scored_once(t).repartition("race_id"), GRID, LEAST))
 
 
 FOLDED = ("folded", "SELECT 'rule' AS report, rule, CAST(NULL AS VARCHAR) AS value, fold, target_top3, place_odds_mid FROM taken" + "".join(f" UNION ALL SELECT 'condition', rule, '{n}=' || c, fold, target_top3, place_odds_mid FROM (SELECT *, {c} AS c FROM taken) WHERE c IS NOT NULL" for n, c in CONDS.items()))
@@ -43,7 +43,7 @@ HELD = ("held", f"SELECT report, rule, value, fold, count(*) AS selections, sum(
 round(max(ret), 6) AS max_fold_return_mid_pct, min(selections) AS min_fold_selections, count(*) = 4 AS all_folds FROM held GROUP BY ALL""", S, TAKEN, FOLDED, HELD)
 def stability_reports(t: Tables) -> DataFrame:
     """How the grid's rules hold over the folds, as a whole and by condition."""
-    return rounded(reports.stable(scored(t), GRID, 4, LEAST))
+    return rounded(reports.stable(scored_once(t).repartition("race_id"), GRID, 4, LEAST))
 
 
 WITH_PEDIGREE = ("w", "SELECT s.*, CAST(CASE WHEN h.pedigree_fetch_status = 'fetched' THEN 1 ELSE 0 END AS INT) AS pedigree_available FROM s JOIN runner u ON u.race_id = s.race_id AND u.horse_number = s.horse_number LEFT JOIN horse h ON h.horse_id = u.horse_id")
